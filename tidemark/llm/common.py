@@ -82,14 +82,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def looked_up(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Equi-join on the LONG column ``key``, of which ``right`` has been aggregated by ``key``.
+def looked_up(left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys``, the first of them a LONG, of which ``right`` has been aggregated.
 
     Joining on ``~key`` makes Spark exchange both sides anew, and only then can adaptive execution
     split a hot key's partition on the left side.
     """
-    r = right.select(F.bitwise_not(F.col(key)).alias("__key"), *[c for c in right.columns if c != key])
-    return left.withColumn("__key", F.bitwise_not(F.col(key))).join(r, "__key", how).drop("__key")
+    first, *more = [keys] if isinstance(keys, str) else keys
+    r = right.select(F.bitwise_not(F.col(first)).alias("__key"), *[c for c in right.columns if c != first])
+    return left.withColumn("__key", F.bitwise_not(F.col(first))).join(r, ["__key", *more], how).drop("__key")
 
 
 def ascii_lower(c: Column) -> Column:

@@ -9,12 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.common import table
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.jaccard import jaccard_groups
+
+    return jaccard_groups(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.bpe import bpe_digests
 
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.suffixes import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.rules import quality_rules
 
@@ -34,6 +46,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_bpe, op8_rules, op9_licenses, op10_toxicity)
+    f.__name__: f for f in (op4_jaccard, op5_bpe, op7_suffixes, op8_rules, op9_licenses, op10_toxicity)
 }
 ORACLE_SQL: dict[str, str] = {}
