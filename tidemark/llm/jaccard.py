@@ -9,7 +9,8 @@ come last in the order of shingles, which keeps lists of shared passages from be
 order, like the boundary, changes the work and never the result.
 
 Of a list not all pairs are formed: first each member meets the smallest one; what these exact
-checks link falls into components; then only members of different components of a list meet.
+checks link falls into components; then only members of different components of a list meet, and of
+those only the ones whose signatures allow a link.
 
 Defined cases: a null or wordless text has an empty set and no links; a text with fewer words than a
 shingle is one shingle; rows with a null ``doc_id`` have no links and a null component; rows that
@@ -142,13 +143,26 @@ def _postings(docs: DataFrame, k: int, limit: Threshold, small: int, frequent) -
     return docs.mapInArrow(run, "doc long, n long, keys array<long>").where(F.size("keys") > 0)
 
 
+#: Words of 64 bits in a set's signature: bit x says whether an odd number of elements hash to x.
+WORDS = 8
+
+
+def signature(s: np.ndarray) -> np.ndarray:
+    odd = np.bincount((s & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _full(docs: DataFrame, k: int) -> DataFrame:
+    """``doc, s`` with the whole set, and its signature ``g0`` and on."""
+    names = [f"g{i}" for i in range(WORDS)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
             sets = [*texts_sets((x.as_py() for x in b.column(1)), k)]
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists(sets)], names=["doc", "s"])
+            g = np.array([signature(s) for s in sets], np.int64).reshape(-1, WORDS)
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(sets), *map(pa.array, g.T.copy())], names=["doc", "s", *names])
 
-    return docs.mapInArrow(run, "doc long, s array<long>")
+    return docs.mapInArrow(run, "doc long, s array<long>, " + ", ".join(f"{x} long" for x in names))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
@@ -199,9 +213,14 @@ def jaccard_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
     mixed = placed.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("token")
     mixed = stored(looked_up(placed, mixed, "token"), "mixed")
     discard(placed)
-    x = mixed.select("token", F.col("doc").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"))
-    y = mixed.select("token", F.col("doc").alias("y"), F.col("n").alias("yn"), F.col("component").alias("yc"))
-    across = x.join(y, "token").where("xc < yc").where(fits("xn", "yn")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    # An element that one set alone has turns one bit of the signature, so sets whose signatures
+    # differ in too many bits can't link; the join itself leaves their pairs out.
+    bits = [f"g{i}" for i in range(WORDS)]
+    signed = mixed.join(sets.select("doc", *bits), "doc")
+    x, y = (signed.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("doc", "n", "component", *bits)]) for side in "xy")
+    differ = " + ".join(f"bit_count(x_{g} ^ y_{g})" for g in bits)
+    near = F.expr(f"x_component < y_component and {den} * least(x_n, y_n) >= {num} * greatest(x_n, y_n) and ({differ}) * {num + den} <= (x_n + y_n) * {den - num}")
+    across = x.join(y, (x.token == y.token) & near).select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).distinct()
     more = stored(_verified(across.join(stars, ["a", "b"], "left_anti"), sets, limit), "links")
     if not more.isEmpty():
         group = components(links.unionByName(more))
