@@ -6,9 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm import benchmarks, lines, warc
 from tidemark.llm.common import table
 
 
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.lines import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.jaccard import jaccard_groups
 
@@ -21,6 +42,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_benchmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.benchmarks import contained
+
+    return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.suffixes import remove_repeats
 
@@ -46,6 +73,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_jaccard, op5_bpe, op7_suffixes, op8_rules, op9_licenses, op10_toxicity)
+    f.__name__: f for f in (op1_lines, op2_warc, op3_quality, op4_jaccard, op5_bpe, op6_benchmarks, op7_suffixes, op8_rules, op9_licenses, op10_toxicity)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_lines": lines.ORACLE_SQL, "op2_warc": warc.ORACLE_SQL, "op6_benchmarks": benchmarks.ORACLE_SQL}
