@@ -1,14 +1,14 @@
 """Benchmark decontamination: which short test items stand inside which documents. DataFrame
 functions only.
 
-Items are partitioned by the size of their shingle sets, and each partition has bottom-k MinHash
-sketches: the k least hashes of an item, and a threshold, the largest of them in the partition. A
-document's sketch for a partition is its shingles under the threshold, so it grows with the document
-and long documents keep what short items need. A document and an item with a common sketch value are
-candidates: of an item contained to four fifths that fails with odds of ``0.2 ** k``. Candidates are
+Items have bottom-k MinHash sketches, the k least hashes of their shingles, and are partitioned by
+size; the least items are their own sketch. The largest value of any partition's sketches is the
+threshold under which a document's shingles are kept, so a document's sketch grows with its length
+and long documents keep what short items need. A document with a value of an item's sketch is a
+candidate: for an item contained to four fifths that fails with odds of ``0.2 ** k``. Candidates are
 verified by the exact share of the item's shingles that the document has.
 
-Words are runs of ASCII letters, digits and other characters beyond ASCII, lower-cased in A-Z; a
+Words are runs of ASCII letters, digits and other characters beyond ASCII, lower-cased; a
 shingle is five words in a row. Defined cases: a text of fewer than five words is one shingle of all
 its words; texts without words, null ones too, contain nothing and are contained in nothing; rows
 with a null id are left out; rows that share an id are one document or item; an empty table gives
@@ -20,8 +20,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower
-
 WORDS, SHARE = 5, (4, 5)
 SKETCH = 10
 #: Bytes of the items' table up to which its sketches and shingles are broadcast; beyond, Spark
@@ -32,13 +30,12 @@ _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 def shingles(texts: DataFrame, key: str) -> DataFrame:
     """``key, h``: a row for each shingle, repeated ones too."""
-    words = texts.where(f"{key} is not null and text is not null").select(key, F.split(ascii_lower(F.col("text")), _NOT_WORD).alias("w"))
-    # an empty string stands before a leading and after a trailing separator
-    words = words.select(key, F.expr("slice(w, if(w[0] = '', 2, 1), size(w))").alias("w"))
-    words = words.select(key, F.expr("if(size(w) > 0 and element_at(w, -1) = '', slice(w, 1, size(w) - 1), w)").alias("w")).where("size(w) > 0")
+    words = texts.where(f"{key} is not null and text is not null").select(key, F.array_remove(F.split(F.lower("text"), _NOT_WORD), "").alias("w"))
     n = f"greatest(size(w) - {WORDS - 1}, 1)"
-    zipped = words.select(key, F.expr(f"explode(slice(arrays_zip({', '.join(f'slice(w, {i + 1}, {n})' for i in range(WORDS))}), 1, {n}))").alias("z"))
-    return zipped.select(key, F.xxhash64(*[F.col("z").getField(str(i)) for i in range(WORDS)]).alias("h"))
+    zipped = f"slice(arrays_zip({', '.join(f'slice(w, {i + 1}, {n})' for i in range(WORDS))}), 1, {n})"
+    # the outer form keeps Spark from evaluating the array a second time in a filter of its own
+    out = words.select(key, F.explode_outer(F.expr(zipped)).alias("z")).where("z is not null")
+    return out.select(key, F.xxhash64(*[F.col("z").getField(str(i)) for i in range(WORDS)]).alias("h"))
 
 
 def _sketches(items: DataFrame) -> DataFrame:
@@ -67,7 +64,7 @@ def contained(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 ORACLE_SQL = r"""
 with t as (select 0 as kind, doc_id as id, text from documents union all select 1, item_id, text from benchmark),
-w as (select kind, id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+w as (select kind, id, regexp_extract_all(lower(text),
       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from t where id is not null and text is not null),
 s as (select distinct kind, id, array_to_string(w[i : i + 4], ' ') as s
       from (select kind, id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from w where len(w) > 0)),

@@ -19,10 +19,10 @@ from tidemark.llm.common import looked_up
 
 def _windows(docs: DataFrame) -> DataFrame:
     """``h1, h2`` (the hash of three lines) and ``at`` (id, text's hash, line number)."""
-    lines = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("t"), F.split("text", "\n").alias("l")).where("size(l) > 2")
+    lines = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("t"), F.split("text", "\n").alias("l"))
     # a line goes on as two hashes and whether it is blank; three neighbours are zipped, not joined
     coded = lines.select("doc_id", "t", F.expr("transform(l, x -> struct(xxhash64(x) as a, xxhash64(x, 7) as b, trim(x) = '' as e))").alias("l"))
-    zipped = coded.select("doc_id", "t", F.expr("posexplode(slice(arrays_zip(l, slice(l, 2, size(l)), slice(l, 3, size(l))), 1, size(l) - 2))").alias("i", "w"))
+    zipped = coded.select("doc_id", "t", F.expr("posexplode_outer(slice(arrays_zip(l, slice(l, 2, size(l)), slice(l, 3, size(l))), 1, greatest(size(l) - 2, 0)))").alias("i", "w")).where("w is not null")
     w = [F.col("w").getField(str(i)) if i else F.col("w").getField("l") for i in range(3)]
     return zipped.where(~(w[0].e & w[1].e & w[2].e)).select(
         F.xxhash64(*[x.a for x in w]).alias("h1"),
