@@ -270,7 +270,7 @@ def _expanded(group: pa.Table) -> pa.Table:
     change = np.c_[np.ones(len(use), bool), least[:, 1:] != least[:, :-1]] & (np.arange(SIDE + 1) < count[:, None])
     row, at = np.nonzero(change)
     n_runs = change.sum(1)
-    stop = np.r_[at[1:], 0]
+    stop = np.r_[at[1:], 0][: len(at)]
     final = np.cumsum(n_runs) - 1
     stop[final] = count
     runs = pa.StructArray.from_arrays([pa.array(at.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(least[row, at])], names=["i", "j", "m"])
