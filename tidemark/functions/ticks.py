@@ -48,16 +48,21 @@ def date_to_ns(c: Column) -> Column:
     return F.unix_date(F.to_date(c)).cast("long") * F.lit(DAY_NS)
 
 
+def _floored(wide: Column) -> Column:
+    """``wide // 1e9`` in exact decimals: a quotient with a remainder would be rounded."""
+    unit = F.lit(SCALE).cast("decimal(10,0)")
+    return ((wide - F.pmod(wide, unit)) / unit).cast("long")
+
+
 def scaled_product(a: Column, b: Column) -> Column:
     """``a * b // 1e9`` rounded down, as for notionals and position values."""
-    wide = a.cast("decimal(19,0)") * b.cast("decimal(19,0)") / F.lit(SCALE).cast("decimal(10,0)")
-    return F.floor(wide).cast("long")
+    return _floored(a.cast("decimal(19,0)") * b.cast("decimal(19,0)"))
 
 
 def slippage(size: Column, fixed: int, per_share: int) -> Column:
     """``fixed + per_share * size / 1e9``, the quotient rounded to zero."""
     wide = F.lit(per_share).cast("decimal(19,0)") * size.cast("decimal(19,0)")
-    return F.lit(fixed) + F.when(wide >= 0, F.floor(wide / SCALE)).otherwise(F.ceil(wide / SCALE)).cast("long")
+    return F.lit(fixed) + F.when(wide >= 0, _floored(wide)).otherwise(-_floored(-wide))
 
 
 def valid(records: DataFrame) -> Column:

@@ -126,11 +126,11 @@ class TickStore:
         return len(touched)
 
     def write_manifests(self, touched: list[tuple[str, str]] | None = None) -> None:
-        df = self.frame()
+        df = self.frame().select("*", F.col("_metadata.file_name").alias("f"))
         if touched is not None:
             keys = self.spark.createDataFrame(touched, "symbol string, date string")
             df = df.join(F.broadcast(keys), ["symbol", "date"], "left_semi") if touched else df.limit(0)
-        files = df.select("symbol", "date", F.col("_metadata.file_name").alias("f")).groupBy("symbol", "date").agg(F.sort_array(F.collect_set("f")).alias("parts"))
+        files = df.groupBy("symbol", "date").agg(F.sort_array(F.collect_set("f")).alias("parts"))
         stats = partition_stats(df, ["ingest_ts_ns", "sequence", "exchange_ts_ns", "trade_id"]).join(files, ["symbol", "date"])
         fs, root = self._fs()
         path = self.spark._jvm.org.apache.hadoop.fs.Path
