@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import discard, looked_up, ship, stored, tidy
 from tidemark.llm.components import components
-from tidemark.llm.packed import counted
+from tidemark.llm.packed import counted, repeated, seen
 from tidemark.llm.shingles import mix, texts_sets
 
 #: A shingle of at least so many documents is frequent; at most so many frequent ones, the most
@@ -124,21 +124,30 @@ def _sizes(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long")
 
 
+def _keys(s: np.ndarray, limit: Threshold, small: int, frequent) -> np.ndarray:
+    """What the set meets others by: subsets of a small one, the rarest shingles of a large one."""
+    n, own = len(s), []
+    if n <= small:
+        own.append(subset_keys(s, limit.subset_sizes(n, small)))
+    if n > small or n >= limit.least(small + 1):
+        own.append(mix(rarest(s, n - limit.least(n) + 1, *frequent.value)))
+    return np.unique(np.concatenate(own)) if own else s[:0]
+
+
 def _postings(docs: DataFrame, k: int, limit: Threshold, small: int, frequent) -> DataFrame:
-    """``doc, n, keys`` for each text that can link to a different set."""
+    """``doc, n, keys`` for each text that can link to a different set. Keys that occur once in the
+    corpus, most of them, stay where they are: a table of fixed size knows the others."""
+
+    def all_keys(texts: Iterator) -> Iterator[np.ndarray]:
+        return (_keys(s, limit, small, frequent) for s in texts_sets(texts, k))
 
-    def keys(s: np.ndarray) -> np.ndarray:
-        n, own = len(s), []
-        if n <= small:
-            own.append(subset_keys(s, limit.subset_sizes(n, small)))
-        if n > small or n >= limit.least(small + 1):
-            own.append(mix(rarest(s, n - limit.least(n) + 1, *frequent.value)))
-        return np.unique(np.concatenate(own)) if own else s[:0]
+    table = docs.sparkSession.sparkContext.broadcast(repeated(docs.select("text"), all_keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
             sets = [*texts_sets((x.as_py() for x in b.column(1)), k)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), _lists([keys(s) for s in sets])], names=["doc", "n", "keys"])
+            keys = [_keys(s, limit, small, frequent) for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), _lists([x[seen(table.value, x)] for x in keys])], names=["doc", "n", "keys"])
 
     return docs.mapInArrow(run, "doc long, n long, keys array<long>").where(F.size("keys") > 0)
 

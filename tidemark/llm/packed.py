@@ -9,8 +9,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BUCKET_BITS = 8
+#: Bits of a table of repeated hashes: 2**27 bits are 16 MB, whatever the corpus.
+TABLE_BITS = 27
 _FAR = 0xFFFF
 
 
@@ -74,3 +77,27 @@ def counted(docs: DataFrame, hashes: Callable[[Iterator], Iterator[np.ndarray]],
         })
 
     return docs.mapInArrow(send, "bucket int, data binary").groupBy("bucket").applyInPandas(count, "hash32 long, n long, squares double")
+
+
+def repeated(docs: DataFrame, hashes: Callable[[Iterator], Iterator[np.ndarray]]) -> np.ndarray:
+    """A bit table, in bytes, of the hashes that occur twice or more. Being of fixed size it says yes
+    too often, and never no wrongly."""
+    slice_bits = TABLE_BITS - BUCKET_BITS
+
+    def bits(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        on = np.zeros(1 << slice_bits, bool)
+        on[(group["hash32"].to_numpy() >> (32 - TABLE_BITS)) & ((1 << slice_bits) - 1)] = True
+        return pd.DataFrame({"bucket": [int(key[0])], "bits": [np.packbits(on).tobytes()]})
+
+    many = counted(docs, hashes, 2).where("hash32 >= 0")
+    got = many.groupBy(F.shiftright("hash32", 32 - BUCKET_BITS).alias("bucket")).applyInPandas(bits, "bucket long, bits binary").toArrow()
+    table = np.zeros(1 << (TABLE_BITS - 3), np.uint8)
+    n = 1 << (slice_bits - 3)
+    for bucket, data in zip(got["bucket"].to_pylist(), got["bits"].to_pylist(), strict=True):
+        table[bucket * n : (bucket + 1) * n] = np.frombuffer(data, np.uint8)
+    return table
+
+
+def seen(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1

@@ -27,21 +27,18 @@ from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import discard, looked_up, ship, stored, tidy
-from tidemark.llm.packed import counted
+from tidemark.llm.packed import repeated, seen
 from tidemark.llm.shingles import mix
 
 LENGTH, GRAM = 50, 16
 SIDE = LENGTH - GRAM
 BLOCK = 1 << 20
 _AT = np.uint64((1 << 22) - 1)
-#: Bits of the table of anchors: 2**27 bits are 16 MB, whatever the corpus.
-TABLE_BITS = 27
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -156,29 +153,6 @@ def _anchors(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         yield h[np.r_[True, (h[1:] != h[:-1]) | (p[1:] != p[:-1])]] if len(h) else h
 
 
-def repeated_anchors(docs: DataFrame) -> np.ndarray:
-    """The bit table of anchors that two texts or more have, in bytes."""
-    slice_bits = TABLE_BITS - 8
-
-    def bits(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        on = np.zeros(1 << slice_bits, bool)
-        on[(group["hash32"].to_numpy() >> (32 - TABLE_BITS)) & ((1 << slice_bits) - 1)] = True
-        return pd.DataFrame({"bucket": [int(key[0])], "bits": [np.packbits(on).tobytes()]})
-
-    many = counted(docs.select("text"), _anchors, 2).where("hash32 >= 0")
-    got = many.groupBy(F.shiftright("hash32", 24).alias("bucket")).applyInPandas(bits, "bucket long, bits binary").toArrow()
-    table = np.zeros(1 << (TABLE_BITS - 3), np.uint8)
-    for bucket, data in zip(got["bucket"].to_pylist(), got["bits"].to_pylist(), strict=True):
-        n = 1 << (slice_bits - 3)
-        table[bucket * n : (bucket + 1) * n] = np.frombuffer(data, np.uint8)
-    return table
-
-
-def _seen(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-    return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-
-
 def _refined(classes: np.ndarray, by: np.ndarray) -> np.ndarray:
     """Intervals split by the next byte; -1: no suffix, or the only one of its interval."""
     out = np.full(len(classes), -1, np.int64)
@@ -225,7 +199,7 @@ def _regions(docs: DataFrame, table, buckets: int) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for b in blocks(x.as_py() for x in batch.column(1)):
-                b.keep(_seen(table.value, b.hash))
+                b.keep(seen(table.value, b.hash))
                 if not len(b.first):
                     continue
                 ends, doc = b.last + LENGTH, ids[b.rows[b.piece]]
@@ -294,7 +268,7 @@ def _occurrences(docs: DataFrame, table) -> DataFrame:
             ids = batch.column(0).to_numpy()
             size = batch.column(2).to_numpy()
             for b in blocks(x.as_py() for x in batch.column(1)):
-                b.keep(_seen(table.value, b.hash))
+                b.keep(seen(table.value, b.hash))
                 h1, h2 = pair_hashes(b.data, b.first, b.last + LENGTH)
                 row = b.rows[b.piece]
                 at = b.first - b.starts[b.piece] + b.offsets[b.piece]
@@ -315,7 +289,7 @@ def covered(docs: DataFrame) -> DataFrame:
     """``doc, size, spans``: for each document that loses bytes, covered intervals in any order."""
     spark = docs.sparkSession
     known = docs.where("doc_id is not null and text is not null")
-    table = spark.sparkContext.broadcast(repeated_anchors(known))
+    table = spark.sparkContext.broadcast(repeated(known.select("text"), _anchors))
     tidy(spark)
     buckets = 4 * max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     results = stored(
