@@ -9,8 +9,9 @@ come last in the order of shingles, which keeps lists of shared passages from be
 order, like the boundary, changes the work and never the result.
 
 Of a list not all pairs are formed: first each member meets the smallest one; what these exact
-checks link falls into components; then only members of different components of a list meet, and of
-those only the ones whose signatures allow a link.
+checks link falls into components; then only members of different components of a list meet. Whole
+sets are sent only for pairs whose signatures allow a link: an element that one set alone has turns
+one bit of the signature, so sets whose signatures differ in too many bits can't link.
 
 Defined cases: a null or wordless text has an empty set and no links; a text with fewer words than a
 shingle is one shingle; rows with a null ``doc_id`` have no links and a null component; rows that
@@ -112,16 +113,27 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.
             yield b.slice(at, rows)
 
 
+#: Words of 64 bits in a set's signature: bit x says whether an odd number of elements hash to x.
+WORDS = 8
+BITS = [f"g{i}" for i in range(WORDS)]
+
+
+def signature(s: np.ndarray) -> np.ndarray:
+    odd = np.bincount((s & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sizes(docs: DataFrame, k: int) -> DataFrame:
-    """``doc_id, n, k1, k2``: the set's size and 128 bits of its elements."""
+    """``doc_id, n, k1, k2`` and ``g0`` and on: the set's size, 128 bits of its elements, its signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
             sets = [*texts_sets((x.as_py() for x in b.column(1)), k)]
             keys = np.frombuffer(b"".join(blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1])], names=["doc_id", "n", "k1", "k2"])
+            g = np.array([signature(s) for s in sets], np.int64).reshape(-1, WORDS)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, np.c_[keys, g].T.copy())], names=["doc_id", "n", "k1", "k2", *BITS])
 
-    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long")
+    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, " + ", ".join(f"{x} long" for x in BITS))
 
 
 def _keys(s: np.ndarray, limit: Threshold, small: int, frequent) -> np.ndarray:
@@ -152,32 +164,35 @@ def _postings(docs: DataFrame, k: int, limit: Threshold, small: int, frequent) -
     return docs.mapInArrow(run, "doc long, n long, keys array<long>").where(F.size("keys") > 0)
 
 
-#: Words of 64 bits in a set's signature: bit x says whether an odd number of elements hash to x.
-WORDS = 8
-
-
-def signature(s: np.ndarray) -> np.ndarray:
-    odd = np.bincount((s & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
-def _full(docs: DataFrame, k: int) -> DataFrame:
-    """``doc, s`` with the whole set, and its signature ``g0`` and on."""
-    names = [f"g{i}" for i in range(WORDS)]
+def _full(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """``doc, s`` with the whole set, for the documents in ``pairs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
             sets = [*texts_sets((x.as_py() for x in b.column(1)), k)]
-            g = np.array([signature(s) for s in sets], np.int64).reshape(-1, WORDS)
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists(sets), *map(pa.array, g.T.copy())], names=["doc", "s", *names])
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(sets)], names=["doc", "s"])
+
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    return docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc long, s array<long>")
 
-    return docs.mapInArrow(run, "doc long, s array<long>, " + ", ".join(f"{x} long" for x in names))
 
+def _near(limit: Threshold) -> str:
+    """Whether sizes and signatures of the sets ``x_`` and ``y_`` allow a link."""
+    differ = " + ".join(f"bit_count(x_{g} ^ y_{g})" for g in BITS)
+    sizes = f"{limit.den} * least(x_n, y_n) >= {limit.num} * greatest(x_n, y_n)"
+    return f"{sizes} and ({differ}) * {limit.num + limit.den} <= (x_n + y_n) * {limit.den - limit.num}"
 
-def _verified(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
+
+def _verified(docs: DataFrame, pairs: DataFrame, k: int, limit: Threshold) -> DataFrame:
+    """The stored ``pairs`` that link, stored."""
+    sets = stored(_full(docs, pairs, k), "sets")
+    tidy(docs.sparkSession)
     both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc").alias("b"), F.col("s").alias("sb")), "b")
     enough = F.size(F.array_intersect("sa", "sb")) * (limit.num + limit.den) >= limit.num * (F.size("sa") + F.size("sb"))
-    return both.where(enough).select("a", "b")
+    links = stored(both.where(enough).select("a", "b"), "links")
+    discard(sets)
+    tidy(docs.sparkSession)
+    return links
 
 
 def jaccard_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -207,14 +222,11 @@ def jaccard_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
     discard(keyed)
     tidy(spark)
 
-    def fits(n: str, m: str):
-        return F.expr(f"{den} * least({n}, {m}) >= {num} * greatest({n}, {m})")
-
-    active = lists.select(F.col("doc").alias("doc_id")).distinct()
-    sets = stored(_full(known.join(active, "doc_id", "left_semi").select("doc_id", "text"), words), "sets")
-    tidy(spark)
-    stars = stored(lists.where("doc <> p").where(fits("n", "pn")).select(F.col("p").alias("a"), F.col("doc").alias("b")).distinct(), "stars")
-    links = stored(_verified(stars, sets, limit), "links")
+    signs = sizes.where("n > 0").join(reps, sizes.doc_id == reps.doc, "left_semi").select(F.col("doc_id").alias("doc"), "n", *BITS)
+    x, y = (signs.select(*[F.col(c).alias(f"{side}_{c}") for c in ("doc", "n", *BITS)]) for side in "xy")
+    met = lists.where("doc <> p").where(F.expr(f"{den} * least(n, pn) >= {num} * greatest(n, pn)")).select(F.col("p").alias("x_doc"), F.col("doc").alias("y_doc")).distinct()
+    stars = stored(met.join(x, "x_doc").join(y, "y_doc").where(_near(limit)).select(F.col("x_doc").alias("a"), F.col("y_doc").alias("b")).distinct(), "stars")
+    links = _verified(known, stars, words, limit)
     group = components(links)
 
     placed = lists.select("token", "doc", "n").join(group.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
@@ -222,18 +234,15 @@ def jaccard_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
     mixed = placed.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("token")
     mixed = stored(looked_up(placed, mixed, "token"), "mixed")
     discard(placed)
-    # An element that one set alone has turns one bit of the signature, so sets whose signatures
-    # differ in too many bits can't link; the join itself leaves their pairs out.
-    bits = [f"g{i}" for i in range(WORDS)]
-    signed = mixed.join(sets.select("doc", *bits), "doc")
-    x, y = (signed.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("doc", "n", "component", *bits)]) for side in "xy")
-    differ = " + ".join(f"bit_count(x_{g} ^ y_{g})" for g in bits)
-    near = F.expr(f"x_component < y_component and {den} * least(x_n, y_n) >= {num} * greatest(x_n, y_n) and ({differ}) * {num + den} <= (x_n + y_n) * {den - num}")
+    signed = mixed.drop("n").join(signs, "doc")
+    x, y = (signed.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("doc", "n", "component", *BITS)]) for side in "xy")
+    near = F.expr("x_component < y_component and " + _near(limit))
     across = x.join(y, (x.token == y.token) & near).select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).distinct()
-    more = stored(_verified(across.join(stars, ["a", "b"], "left_anti"), sets, limit), "links")
+    across = stored(across.join(stars, ["a", "b"], "left_anti"), "across")
+    more = _verified(known, across, words, limit)
     if not more.isEmpty():
         group = components(links.unionByName(more))
-    for t in (lists, stars, sets, mixed):
+    for t in (lists, stars, mixed, across):
         discard(t)
     tidy(spark)
 
