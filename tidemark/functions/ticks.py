@@ -73,13 +73,13 @@ def valid(records: DataFrame) -> Column:
     return F.coalesce(common & kind, F.lit(False))
 
 
-def to_ticks(records: DataFrame) -> DataFrame:
-    """Records of both kinds to the canonical columns."""
+def to_ticks(records: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Records of both kinds to the canonical columns, and those of ``keep``."""
     trade = F.col("type") == "trade"
     return records.select(
         F.col("type").alias("kind"), "symbol", "exchange_ts_ns", "ingest_ts_ns", "sequence",
         decimal_to_ticks(F.col("price")).alias("price_ticks"), decimal_to_ticks(F.col("size")).alias("size_ticks"),
-        F.when(~trade, F.col("side")).alias("side"), F.when(trade, F.col("trade_id")).alias("trade_id"),
+        F.when(~trade, F.col("side")).alias("side"), F.when(trade, F.col("trade_id")).alias("trade_id"), *(keep or []),
     )
 
 
