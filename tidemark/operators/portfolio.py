@@ -58,11 +58,11 @@ def curve_metrics(curve: DataFrame) -> DataFrame:
 
 
 def fill_metrics(fills: DataFrame, capital: int) -> DataFrame:
-    """turnover, avg_slippage_bps and fill_count."""
+    """turnover, avg_slippage_bps and fill_count. A fill at a tick price of zero has no slippage in bps."""
     notional = scaled_product(F.col("size_ticks"), F.col("fill_price_ticks"))
     return fills.agg(
         (F.coalesce(F.sum(notional), F.lit(0)) / F.lit(float(capital))).alias("turnover"),
-        F.coalesce(F.avg(F.col("slippage_ticks") / F.col("tick_price_ticks")) * 1e4, F.lit(0.0)).alias("avg_slippage_bps"),
+        F.coalesce(F.avg(F.try_divide("slippage_ticks", "tick_price_ticks")) * 1e4, F.lit(0.0)).alias("avg_slippage_bps"),
         F.count("*").alias("fill_count"),
     )
 

@@ -294,6 +294,13 @@ _FILLS = """fills as (select symbol, case when event_id % 40 = 0 then 'buy' else
 price_ticks + case when event_id % 40 = 0 then 7 else -7 end as fill_price_ticks, 7 as slippage_ticks, exchange_ts_ns as trade_ts_ns, event_id from ticks where kind = 'trade' and event_id % 20 = 0 and size_ticks > 0)"""
 
 
+def _marked(t: DataFrame, fills: DataFrame) -> DataFrame:
+    curve = P.equity_curve(t, fills, 10**15)
+    order = Window.partitionBy("symbol").orderBy("exchange_ts_ns", "sequence", "trade_id")
+    ids = t.where("kind = 'trade'").select("symbol", "event_id", F.row_number().over(order).alias("n"))
+    return curve.join(ids, ["symbol", "n"]).select("event_id", "equity")
+
+
 @query(f"""{_FILLS} select round(sum(cast(size_ticks as hugeint) * fill_price_ticks // 1000000000) / 1e15, 6) as turnover, round(avg(slippage_ticks / tick_price_ticks) * 1e4, 9) as avg_slippage_bps, count(*) as fill_count from fills""")
 def turnover(spark, d):
     m = P.fill_metrics(_orders_as_fills(ticks(spark, d)), 10**15)
@@ -306,10 +313,35 @@ select t.event_id, cast(1000000000000000 + coalesce(sum(dc), 0) + case when coal
 from ticks t left join c on c.symbol = t.symbol and c.ts <= t.exchange_ts_ns where t.kind = 'trade' group by t.event_id""")
 def equity_marks(spark, d):
     t = ticks(spark, d)
-    curve = P.equity_curve(t, _orders_as_fills(t), 10**15)
-    order = Window.partitionBy("symbol").orderBy("exchange_ts_ns", "sequence", "trade_id")
-    ids = t.where("kind = 'trade'").select("symbol", "event_id", F.row_number().over(order).alias("n"))
-    return curve.join(ids, ["symbol", "n"]).select("event_id", "equity")
+    return _marked(t, _orders_as_fills(t))
+
+
+def _trades_as_fills(t: DataFrame) -> DataFrame:
+    """Every trade with a size taken as a fill, bought at even ids and sold at odd ones."""
+    buy = F.col("event_id") % 2 == 0
+    return t.where("kind = 'trade' and size_ticks > 0").select(
+        "symbol", F.when(buy, "buy").otherwise("sell").alias("side"), "size_ticks", F.col("price_ticks").alias("tick_price_ticks"),
+        (F.col("price_ticks") + F.when(buy, 7).otherwise(-7)).alias("fill_price_ticks"), F.lit(7).cast("long").alias("slippage_ticks"), F.col("exchange_ts_ns").alias("trade_ts_ns"), "event_id",
+    )
+
+
+_ALL_FILLS = """fills as (select symbol, case when event_id % 2 = 0 then 'buy' else 'sell' end as side, size_ticks, price_ticks as tick_price_ticks,
+price_ticks + case when event_id % 2 = 0 then 7 else -7 end as fill_price_ticks, 7 as slippage_ticks, exchange_ts_ns as trade_ts_ns, event_id from ticks where kind = 'trade' and size_ticks > 0)"""
+
+
+@query(f"""{_ALL_FILLS} select round(sum(cast(size_ticks as hugeint) * fill_price_ticks // 1000000000) / 1e15, 6) as turnover, round(avg(slippage_ticks / nullif(tick_price_ticks, 0)) * 1e4, 9) as avg_slippage_bps, count(*) as fill_count from fills""")
+def turnover_all(spark, d):
+    m = P.fill_metrics(_trades_as_fills(ticks(spark, d)), 10**15)
+    return m.select(F.round("turnover", 6).alias("turnover"), F.round("avg_slippage_bps", 9).alias("avg_slippage_bps"), "fill_count")
+
+
+@query(f"""{_ALL_FILLS}, c as (select symbol, trade_ts_ns as ts, case side when 'buy' then size_ticks else -size_ticks end as dq, case side when 'buy' then -1 else 1 end * (cast(size_ticks as hugeint) * fill_price_ticks // 1000000000) as dc from fills),
+u as (select symbol, ts, dq, dc, null as event_id, null as price_ticks from c union all select symbol, exchange_ts_ns, 0, 0, event_id, price_ticks from ticks where kind = 'trade'),
+r as (select event_id, price_ticks, sum(dq) over w as q, sum(dc) over w as c from u window w as (partition by symbol order by ts range between unbounded preceding and current row))
+select event_id, cast(1000000000000000 + c + case when q >= 0 then cast(q as hugeint) * price_ticks // 1000000000 else -((cast(-q as hugeint) * price_ticks + 999999999) // 1000000000) end as bigint) as equity from r where event_id is not null""")
+def equity_marks_all(spark, d):
+    t = ticks(spark, d)
+    return _marked(t, _trades_as_fills(t))
 
 
 @query("select event_id, cast(json_extract(props, '$.k') as bigint) as k from ticks")
