@@ -1,11 +1,12 @@
 """Quality classifier by co-training: one classifier sees the text's content, the other the page's
-metadata (source, language, length). In each round either labels the rows of a pool that it is surest
-of, for the other to learn from. Both are then calibrated on labelled rows that neither was fitted
+metadata (source, language, length). In each round either labels the documents that it is surest of,
+out of all unlabelled ones, for the other to learn from. Both are then calibrated on labelled rows that neither was fitted
 on, and their calibrated log odds are combined into the score of every document.
 
-The classifiers are ridge logistic regressions, fitted on the driver over bounded samples
-(``LABELLED`` labelled and ``POOL`` unlabelled rows, in the order of a hash of their ids); scoring is
-one narrow pass over all documents and whole texts.
+The classifiers are ridge logistic regressions, fitted on the driver over a bounded sample of labelled
+rows (``LABELLED``, in the order of a hash of their ids) and the pseudo-labels chosen so far. The views
+of all documents without a label are stored once, and each round is one narrow pass over them; scoring
+is one narrow pass over all documents and whole texts.
 
 Defined cases: a null text counts as empty; null metadata are values of their own; a null ``doc_id``
 is scored and never sampled; repeated rows score alike; without labels of both classes every score
@@ -25,14 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ship
+from tidemark.llm.common import discard, ship, stored
 from tidemark.llm.rules import Text
 
-LABELLED, POOL, ROUNDS, PER_ROUND = 8_000, 8_000, 5, 200
+LABELLED, ROUNDS, PER_ROUND = 8_000, 5, 200
 #: Least probability of a pseudo-label.
 SURE = 0.95
 _SOURCES, _LANGS = 64, 16
 _META = ("lang", "source", "n_chars")
+#: Numbers that ``_views`` keeps of the metadata.
+_META_STORED = 4
 
 
 def text_view(text: str | None) -> list[float]:
@@ -107,32 +110,52 @@ def _scaling(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.r_[f.weight[0] - (w * f.mean).sum(), w]
 
 
-def co_train(x1: np.ndarray, x2: np.ndarray, y: np.ndarray, p1: np.ndarray, p2: np.ndarray) -> Model:
-    """From labelled rows (two views, labels) and the pool's two views. Every fourth labelled row is
-    kept for calibration."""
+def _meta_columns(m: np.ndarray) -> np.ndarray:
+    """``meta_view`` of many rows, from the columns language, source, size and missing size."""
+    out = np.zeros((len(m), _LANGS + _SOURCES + 3))
+    at = np.arange(len(m))
+    out[at, m[:, 0].astype(int)] = 1.0
+    out[at, _LANGS + m[:, 1].astype(int)] = 1.0
+    out[:, -3], out[:, -2], out[:, -1] = m[:, 2], m[:, 2] * m[:, 2] / 10, m[:, 3]
+    return out
+
+
+def _split(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both views of the rows of ``_views``."""
+    return f[:, :-_META_STORED], _meta_columns(f[:, -_META_STORED:])
+
+
+def _counts(share: float) -> tuple[int, int]:
+    """Rows that a view labels in a round, with the label 0 and 1."""
+    return tuple(max(1, round(PER_ROUND * x)) for x in (1 - share, share))
+
+
+def co_train(x1: np.ndarray, x2: np.ndarray, y: np.ndarray, surest) -> Model:
+    """From labelled rows (two views, labels) and ``surest``: (models, used ids, at most) to rows of
+    ``_BEST``, the surest of all unlabelled documents for each view and label. Every fourth labelled
+    row is kept for calibration."""
     held = np.arange(len(y)) % 4 == 3
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held = np.zeros(len(y), bool)
     fit, cal = ~held, held if held.any() else ~held
-    taught: list[list[tuple[int, float]]] = [[], []]  # pseudo-labels for view 0 and for view 1
-    used = np.zeros(len(p1), bool)
-    views = [(x1, p1), (x2, p2)]
+    taught: list[list[tuple[np.ndarray, float]]] = [[], []]  # pseudo-labelled rows for view 0 and for view 1
+    used: set[int] = set()
     share = y[fit].mean()
     models: list[Logistic] = []
     for r in range(ROUNDS + 1):
         models = []
-        for v, (x, p) in enumerate(views):
-            rows = np.array([i for i, _ in taught[v]], int)
-            models.append(Logistic.fitted(np.r_[x[fit], p[rows]], np.r_[y[fit], [label for _, label in taught[v]]]))
+        for v, x in enumerate((x1, x2)):
+            more = [_split(f[None])[v] for f, _ in taught[v]]
+            models.append(Logistic.fitted(np.concatenate([x[fit], *more]), np.r_[y[fit], [label for _, label in taught[v]]]))
         if r == ROUNDS:
             break
-        for v, (_, p) in enumerate(views):
-            prob = 1 / (1 + np.exp(-models[v].odds(p))) if len(p) else np.zeros(0)
-            for label, sure, count in ((1.0, prob, PER_ROUND * share), (0.0, 1 - prob, PER_ROUND * (1 - share))):
-                free = np.flatnonzero(~used & (sure >= SURE))
-                best = free[np.argsort(-sure[free], kind="stable")][: max(1, round(count))]
-                used[best] = True
-                taught[1 - v] += [(int(i), label) for i in best]
+        counts = _counts(share)
+        best = surest(models, used, 2 * sum(counts))  # enough for each, whatever the others take before
+        for v in (0, 1):
+            for label in (1, 0):
+                for doc_id, f in [(i, f) for i, f in best.get((v, label), ()) if i not in used][: counts[label]]:
+                    used.add(doc_id)
+                    taught[1 - v].append((f, float(label)))
     a, b = models[0].odds(x1[cal]), models[1].odds(x2[cal])
     s1, s2 = _scaling(a[:, None], y[cal]), _scaling(b[:, None], y[cal])
     blend = _scaling(np.c_[s1[0] + s1[1] * a, s2[0] + s2[1] * b], y[cal])
@@ -140,30 +163,77 @@ def co_train(x1: np.ndarray, x2: np.ndarray, y: np.ndarray, p1: np.ndarray, p2:
 
 
 def _views(rows: DataFrame) -> DataFrame:
+    """``doc_id, y, f``: the text's view, then language, source, size and missing size."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = b.to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([text_view(r["text"]) for r in rows], pa.list_(pa.float64())), pa.array([meta_view(*(r[c] for c in _META)) for r in rows], pa.list_(pa.float64()))],
-                names=["doc_id", "y", "a", "b"],
-            )
+            f = []
+            for r in b.to_pylist():
+                m = meta_view(*(r[c] for c in _META))
+                f.append([*text_view(r["text"]), float(m.index(1.0)), float(m.index(1.0, _LANGS) - _LANGS), m[-3], m[-1]])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(f, pa.list_(pa.float64()))], names=["doc_id", "y", "f"])
+
+    return rows.mapInArrow(run, "doc_id long, y int, f array<double>")
+
 
-    return rows.mapInArrow(run, "doc_id long, y int, a array<double>, b array<double>")
+_BEST = "view int, label int, sure double, doc_id long, f array<double>"
+
+
+def _first(best: pa.Table, most: int) -> pa.Table:
+    """The ``most`` surest documents of each view and label, each once; ties go to the smallest id."""
+    t = best.to_pandas().sort_values(["view", "label", "sure", "doc_id"], ascending=[True, True, False, True], kind="stable")
+    t = t.drop_duplicates(["view", "label", "doc_id"]).groupby(["view", "label"], sort=False).head(most)
+    return pa.Table.from_pandas(t, best.schema, preserve_index=False)
+
+
+def _surest(pool: DataFrame, models: list[Logistic], used: set[int], most: int) -> dict[tuple[int, int], list[tuple[int, np.ndarray]]]:
+    """One narrow pass over the pool. What tasks find is narrowed once more before the driver gets it."""
+    schema = pa.schema([("view", pa.int32()), ("label", pa.int32()), ("sure", pa.float64()), ("doc_id", pa.int64()), ("f", pa.list_(pa.float64()))])
+    gone, least = np.array(sorted(used), np.int64), math.log(SURE / (1 - SURE))
+
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = schema.empty_table()
+        for b in batches:
+            kept = _first(pa.concat_tables([kept, pa.Table.from_arrays(b.columns, schema=schema)]), most)
+        yield from kept.to_batches()
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = b.column(0).to_numpy()
+            f = b.column(1).flatten().to_numpy().reshape(len(ids), -1)
+            free = ~np.isin(ids, gone)
+            for v, (model, x) in enumerate(zip(models, _split(f), strict=True)):
+                odds = model.odds(x)
+                for label, sure in ((0, -odds), (1, odds)):
+                    at = np.flatnonzero(free & (sure >= least))
+                    n = len(at)
+                    ends = pa.array(np.arange(n + 1, dtype=np.int32) * f.shape[1])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, v, np.int32)), pa.array(np.full(n, label, np.int32)), pa.array(sure[at]), pa.array(ids[at]), pa.ListArray.from_arrays(ends, pa.array(f[at].ravel()))], schema=schema)
+
+    some = pool.select("doc_id", "f").mapInArrow(lambda batches: narrowed(found(batches)), _BEST)
+    few = some.repartition(max(1, math.isqrt(pool.rdd.getNumPartitions()))).mapInArrow(narrowed, _BEST)
+    out: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
+    for r in _first(few.toArrow().cast(schema), most).to_pylist():
+        out.setdefault((r["view"], r["label"]), []).append((r["doc_id"], np.array(r["f"])))
+    return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model | None:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).cast("long" if c == "n_chars" else "string").alias(c) if c in docs.columns else F.lit(None).cast("long" if c == "n_chars" else "string").alias(c) for c in _META])
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("y")).orderBy(*order).limit(labelled)
-    others = docs.where("doc_id is not null").select("doc_id").orderBy(*order).limit(pool).withColumn("y", F.lit(None).cast("int"))
-    ids = known.unionByName(others).groupBy("doc_id").agg(F.max("y").alias("y"))  # bounded: broadcast
-    got = _views(docs.join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text", *_META)).toArrow().to_pandas().sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
-    known_rows = got["y"].notna().to_numpy()
-    y = got["y"].to_numpy(dtype=float)[known_rows]
+    truth = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("y"))
+    known = truth.orderBy(*order).limit(labelled)  # bounded: broadcast
+    got = _views(docs.join(F.broadcast(known), "doc_id").select("doc_id", "y", "text", *_META)).toArrow().to_pandas().sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+    y = got["y"].to_numpy(dtype=float)
     if len(set(y)) < 2:
         return None
-    a, b = (np.array(got[c].tolist(), float) for c in ("a", "b"))
-    return co_train(a[known_rows], b[known_rows], y, a[~known_rows], b[~known_rows])
+    rest = _views(docs.where("doc_id is not null").select("doc_id", F.lit(None).cast("int").alias("y"), "text", *_META))
+    pool = stored(rest.select("doc_id", "f").join(truth.select("doc_id"), "doc_id", "left_anti"), "pool")
+    model = co_train(*_split(np.array(got["f"].tolist(), float)), y, lambda *x: _surest(pool, *x))
+    discard(pool)
+    return model
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
