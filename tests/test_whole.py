@@ -4,6 +4,8 @@ import duckdb
 import pytest
 
 from tidemark import queries as Q
+from tidemark.operators.portfolio import portfolio_metrics
+from tidemark.operators.replay import RollingZScoreMeanReversion, replay
 from tidemark.sources.events import ticks
 
 D = "/root/testdata/sf0.001"
@@ -21,7 +23,7 @@ def sql(text, d=D):
     return sorted((tuple(x[names.index(n)] for n in sorted(names)) for x in r.fetchall()), key=str)
 
 
-@pytest.mark.parametrize("name", ["turnover_all", "equity_marks_all"])
+@pytest.mark.parametrize("name", ["turnover_all", "equity_marks_all", "replay_order_all"])
 def test_whole_queries_match_sql(spark, name):
     assert rows(Q.QUERIES[name](spark, D)) == sql(Q.ORACLE_SQL[name])
 
@@ -37,3 +39,13 @@ def test_every_trade_is_a_fill(spark):
         want[t.event_id] = 10**15 + cash + q * t.price_ticks // 10**9
     assert {r.event_id: r.equity for r in Q.QUERIES["equity_marks_all"](spark, D).collect()} == want
     assert Q.QUERIES["turnover_all"](spark, D).first().fill_count == len(fills) == 531
+
+
+def test_strategy_on_every_symbol(spark):
+    t = ticks(spark, D)
+    got = {r.symbol: r for r in Q.QUERIES["strategy_metrics"](spark, D).collect()}
+    assert sorted(got) == ["S0", "S1", "S2", "S3", "S4"]
+    for s in ("S1", "S3"):
+        own = t.where(f"symbol = '{s}'")
+        want = portfolio_metrics(own, replay(own, RollingZScoreMeanReversion(s)), 10**18).first()
+        assert want.fill_count and all(round(got[s][c], 12) == round(want[c], 12) for c in want.asDict())

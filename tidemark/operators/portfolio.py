@@ -43,24 +43,25 @@ def drawdown(equity: Column, peak: Column) -> Column:
     return F.when(peak != 0, (peak - equity) / peak).otherwise(0.0)
 
 
-def curve_metrics(curve: DataFrame) -> DataFrame:
-    """total_return, sharpe and max_drawdown of ``ts, n, equity``."""
-    w = Window.orderBy("n")
+def curve_metrics(curve: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """total_return, sharpe and max_drawdown of ``ts, n, equity``, for each group of ``by``."""
+    w = Window.partitionBy(*by).orderBy("n")
     x = curve.withColumn("e", F.col("equity").cast("double"))
     x = x.withColumn("before", F.lag("e").over(w)).withColumn("peak", F.max("e").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     x = x.withColumn("r", F.when(F.col("before") != 0, F.col("e") / F.col("before") - 1).otherwise(F.when(F.col("before").isNotNull(), 0.0))).withColumn("dd", drawdown(F.col("e"), F.col("peak")))
-    a = x.agg(F.min_by("e", "n").alias("first"), F.max_by("e", "n").alias("last"), F.avg("r").alias("m"), F.stddev_samp("r").alias("s"), F.count("r").alias("k"), ((F.max("ts") - F.min("ts")) / F.lit(float(YEAR_NS))).alias("years"), F.max("dd").alias("mdd"))
+    a = x.groupBy(*by).agg(F.min_by("e", "n").alias("first"), F.max_by("e", "n").alias("last"), F.avg("r").alias("m"), F.stddev_samp("r").alias("s"), F.count("r").alias("k"), ((F.max("ts") - F.min("ts")) / F.lit(float(YEAR_NS))).alias("years"), F.max("dd").alias("mdd"))
     return a.select(
+        *by,
         F.coalesce(F.when(F.col("first") != 0, F.col("last") / F.col("first") - 1), F.lit(0.0)).alias("total_return"),
         F.coalesce(F.when((F.col("s") > 0) & (F.col("years") > 0), F.col("m") / F.col("s") * F.sqrt(F.col("k") / F.col("years"))), F.lit(0.0)).alias("sharpe"),
         F.coalesce("mdd", F.lit(0.0)).alias("max_drawdown"),
     )
 
 
-def fill_metrics(fills: DataFrame, capital: int) -> DataFrame:
-    """turnover, avg_slippage_bps and fill_count. A fill at a tick price of zero has no slippage in bps."""
+def fill_metrics(fills: DataFrame, capital: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """turnover, avg_slippage_bps and fill_count, for each group of ``by``. A fill at a tick price of zero has no slippage in bps."""
     notional = scaled_product(F.col("size_ticks"), F.col("fill_price_ticks"))
-    return fills.agg(
+    return fills.groupBy(*by).agg(
         (F.coalesce(F.sum(notional), F.lit(0)) / F.lit(float(capital))).alias("turnover"),
         F.coalesce(F.avg(F.try_divide("slippage_ticks", "tick_price_ticks")) * 1e4, F.lit(0.0)).alias("avg_slippage_bps"),
         F.count("*").alias("fill_count"),
@@ -69,3 +70,9 @@ def fill_metrics(fills: DataFrame, capital: int) -> DataFrame:
 
 def portfolio_metrics(ticks: DataFrame, fills: DataFrame, capital: int) -> DataFrame:
     return curve_metrics(global_curve(ticks, fills, capital)).crossJoin(fill_metrics(fills, capital))
+
+
+def symbol_metrics(ticks: DataFrame, fills: DataFrame, capital: int) -> DataFrame:
+    """Each symbol's metrics, as a portfolio of its own; a symbol without fills has zeros."""
+    m = curve_metrics(equity_curve(ticks, fills, capital), ("symbol",)).join(fill_metrics(fills, capital, ("symbol",)), "symbol", "left")
+    return m.fillna(0, ["turnover", "avg_slippage_bps", "fill_count"])

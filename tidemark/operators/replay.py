@@ -127,14 +127,17 @@ def replay(ticks: DataFrame, strategy: Strategy | None, config: BacktestConfig =
 
 class RollingZScoreMeanReversion(Strategy):
     """Buys when flat and the last price is ``entry_z`` deviations under the window's mean, sells all
-    when long and it is back at ``exit_z``. The position follows the fills."""
+    when long and it is back at ``exit_z``. The position follows the fills. ``symbol`` None stands for
+    that of the first trade, so that a replay by symbol runs the strategy on each."""
 
-    def __init__(self, symbol: str, window: int = 20, entry_z: float = 1.0, exit_z: float = 0.0, order_size: int = SCALE):
+    def __init__(self, symbol: str | None = None, window: int = 20, entry_z: float = 1.0, exit_z: float = 0.0, order_size: int = SCALE):
         self.symbol, self.window, self.entry_z, self.exit_z, self.order_size = symbol, window, entry_z, exit_z, order_size
         self.prices: list[int] = []
         self.position, self.waiting = 0, False
 
     def on_trade(self, tick) -> None:
+        if self.symbol is None:
+            self.symbol = tick.symbol
         if tick.symbol != self.symbol:
             return
         self.prices = [*self.prices, tick.price_ticks][-self.window :]

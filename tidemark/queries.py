@@ -378,6 +378,12 @@ def replay_order(spark, d):
     return ticks(spark, d).where("symbol = 'S2'").select("symbol", "event_id", "exchange_ts_ns", F.row_number().over(w).cast("long").alias("n"))
 
 
+@query("select symbol, event_id, exchange_ts_ns, row_number() over (partition by symbol order by exchange_ts_ns, sequence, kind, event_id) as n from ticks")
+def replay_order_all(spark, d):
+    w = Window.partitionBy("symbol").orderBy("exchange_ts_ns", "sequence", "kind", "event_id")
+    return ticks(spark, d).select("symbol", "event_id", "exchange_ts_ns", F.row_number().over(w).cast("long").alias("n"))
+
+
 @query("select event_id, ingest_ts_ns from ticks order by ingest_ts_ns desc, event_id desc limit 100")
 def top_runs(spark, d):
     return ticks(spark, d).select("event_id", "ingest_ts_ns").orderBy(F.desc("ingest_ts_ns"), F.desc("event_id")).limit(100)
@@ -399,8 +405,8 @@ def replay_fills(spark, d):
 
 @query()
 def strategy_metrics(spark, d):
-    t = ticks(spark, d).where("symbol = 'S1'")
-    return P.portfolio_metrics(t, replay(t, RollingZScoreMeanReversion("S1")), 10**18)
+    t = ticks(spark, d)
+    return P.symbol_metrics(t, replay(t, RollingZScoreMeanReversion()), 10**18)
 
 
 @query()
