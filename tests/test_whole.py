@@ -23,7 +23,7 @@ def sql(text, d=D):
     return sorted((tuple(x[names.index(n)] for n in sorted(names)) for x in r.fetchall()), key=str)
 
 
-@pytest.mark.parametrize("name", ["turnover_all", "equity_marks_all", "replay_order_all"])
+@pytest.mark.parametrize("name", ["turnover_all", "equity_marks_all", "replay_order_all", "mid_price_all", "feature_matrix_all"])
 def test_whole_queries_match_sql(spark, name):
     assert rows(Q.QUERIES[name](spark, D)) == sql(Q.ORACLE_SQL[name])
 
@@ -49,3 +49,9 @@ def test_strategy_on_every_symbol(spark):
         own = t.where(f"symbol = '{s}'")
         want = portfolio_metrics(own, replay(own, RollingZScoreMeanReversion(s)), 10**18).first()
         assert want.fill_count and all(round(got[s][c], 12) == round(want[c], 12) for c in want.asDict())
+
+
+def test_every_tick_is_in_a_window(spark):
+    assert all(Q.ORACLE_SQL[f"{n}_all"] != Q.ORACLE_SQL[n] for n in Q.OVER_BARS)
+    assert {r.event_id for r in Q.QUERIES["range_join_all"](spark, D).collect()} == {r.event_id for r in ticks(spark, D).collect()}
+    assert Q.whole_grid(ticks(spark, D).limit(0)) == (0, -1, Q.LOOKBACK)

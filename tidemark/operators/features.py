@@ -113,7 +113,9 @@ def order_flow_imbalance(rows: DataFrame, lookback_ns: int) -> DataFrame:
 
 @register_feature("realized_vol", 1, 60 * SCALE)
 def realized_vol(rows: DataFrame, lookback_ns: int) -> DataFrame:
-    r = F.ln(F.col("price_ticks") / 1e9) - F.ln(F.col("before") / 1e9)
+    # Spark's ln(0) is NULL, which would leave a price of zero out; as in SQL, its window has no finite value
+    ln = lambda c: F.when(F.col(c) == 0, F.lit(float("-inf"))).otherwise(F.ln(F.col(c) / 1e9))
+    r = ln("price_ticks") - ln("before")
     year = F.sqrt(F.lit(float(YEAR_NS) / lookback_ns))
     return _steps(rows).groupBy(*KEYS).agg((F.stddev_samp(r) * year).alias("value"))
 

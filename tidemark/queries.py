@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,75 +94,91 @@ _BOOK = """levels as (select symbol, bar_end_ns, side, price_ticks, arg_max(size
 book as (select symbol, bar_end_ns, max(price_ticks) filter (where side = 'bid') as bid, min(price_ticks) filter (where side = 'ask') as ask from levels where size > 0 group by 1, 2)"""
 
 
-def _bars(spark, d):
+#: ``_BARS`` with a grid that covers the table: bars LOOKBACK apart, from the first at or after its first tick.
+_ALL_BARS = _BARS.replace(f"range({START}, {END} + 1, {DAY})", f"(select range((min(exchange_ts_ns) + {LOOKBACK - 1}) // {LOOKBACK} * {LOOKBACK}, (max(exchange_ts_ns) + {LOOKBACK - 1}) // {LOOKBACK} * {LOOKBACK} + 1, {LOOKBACK}) from ticks)")
+
+
+def fixed_grid(t: DataFrame) -> tuple[int, int, int]:
+    return START, END, DAY
+
+
+def whole_grid(t: DataFrame) -> tuple[int, int, int]:
+    """First and last bar and step, so that every tick is in the window of a bar."""
+    r = t.agg(F.min("exchange_ts_ns").alias("low"), F.max("exchange_ts_ns").alias("high")).first()
+    if r.low is None:
+        return 0, -1, LOOKBACK
+    return -(-r.low // LOOKBACK) * LOOKBACK, -(-r.high // LOOKBACK) * LOOKBACK, LOOKBACK
+
+
+def _bars(spark, d, grid=fixed_grid):
     t = ticks(spark, d)
-    return X.bar_grid(spark, t, START, END, DAY), t
+    return X.bar_grid(spark, t, *grid(t)), t
 
 
-def _feature(spark, d, name):
+def _feature(spark, d, name, grid=fixed_grid):
     t = ticks(spark, d)
     spec = X.resolve_feature(name, {"window_s": LOOKBACK // K.SCALE})
-    return X.feature_matrix(t, t, [spec], START, END, DAY).withColumnRenamed(spec.name, name)
+    return X.feature_matrix(t, t, [spec], *grid(t)).withColumnRenamed(spec.name, name)
 
 
 @query(f"{_BARS} select symbol, bar_end_ns from bars")
-def bar_grid(spark, d):
-    return _bars(spark, d)[0]
+def bar_grid(spark, d, grid=fixed_grid):
+    return _bars(spark, d, grid)[0]
 
 
 @query(f"{_BARS} select symbol, bar_end_ns, event_id from rows")
-def range_join(spark, d):
-    b, t = _bars(spark, d)
+def range_join(spark, d, grid=fixed_grid):
+    b, t = _bars(spark, d, grid)
     return X.window_rows(b, t, LOOKBACK).select("symbol", "bar_end_ns", "event_id")
 
 
 @query(f"{_BARS} select bars.symbol, bars.bar_end_ns, cast(count(event_id) filter (where kind = 'trade') as double) as trade_count from bars left join rows using (symbol, bar_end_ns) group by 1, 2")
-def trade_count(spark, d):
-    return _feature(spark, d, "trade_count")
+def trade_count(spark, d, grid=fixed_grid):
+    return _feature(spark, d, "trade_count", grid)
 
 
 @query(f"{_BARS}, {_LAST} select * from last_trade")
-def last_trade(spark, d):
-    b, t = _bars(spark, d)
+def last_trade(spark, d, grid=fixed_grid):
+    b, t = _bars(spark, d, grid)
     return X.last_trade(X.window_rows(b, t, LOOKBACK))
 
 
 @query(f"{_BARS}, {_BOOK} select * from book")
-def book_top(spark, d):
-    b, t = _bars(spark, d)
+def book_top(spark, d, grid=fixed_grid):
+    b, t = _bars(spark, d, grid)
     return X.book_top(X.window_rows(b, t, LOOKBACK))
 
 
 @query(f"{_BARS}, {_BOOK}, {_LAST} select bars.symbol, bars.bar_end_ns, round(coalesce((bid + ask) / 2e9, last / 1e9), 6) as mid_price from bars left join book using (symbol, bar_end_ns) left join last_trade using (symbol, bar_end_ns)")
-def mid_price(spark, d):
-    return _feature(spark, d, "mid_price").withColumn("mid_price", F.round("mid_price", 6))
+def mid_price(spark, d, grid=fixed_grid):
+    return _feature(spark, d, "mid_price", grid).withColumn("mid_price", F.round("mid_price", 6))
 
 
 @query(f"{_BARS}, {_BOOK} select bars.symbol, bars.bar_end_ns, round((ask - bid) / ((bid + ask) / 2) * 1e4, 4) as spread_bps from bars left join book using (symbol, bar_end_ns)")
-def spread_bps(spark, d):
-    return _feature(spark, d, "spread_bps").withColumn("spread_bps", F.round("spread_bps", 4))
+def spread_bps(spark, d, grid=fixed_grid):
+    return _feature(spark, d, "spread_bps", grid).withColumn("spread_bps", F.round("spread_bps", 4))
 
 
 @query(f"""{_BARS}, {_TRADES}, f as (select symbol, bar_end_ns, cast(coalesce(sum(sign(price_ticks - before) * size_ticks), 0) as double) / nullif(cast(sum(size_ticks) as double), 0) as v from steps group by 1, 2)
 select bars.symbol, bars.bar_end_ns, round(v, 9) as order_flow_imbalance from bars left join f using (symbol, bar_end_ns)""")
-def order_flow_imbalance(spark, d):
-    return _feature(spark, d, "order_flow_imbalance").withColumn("order_flow_imbalance", F.round("order_flow_imbalance", 9))
+def order_flow_imbalance(spark, d, grid=fixed_grid):
+    return _feature(spark, d, "order_flow_imbalance", grid).withColumn("order_flow_imbalance", F.round("order_flow_imbalance", 9))
 
 
 @query(f"""{_BARS}, {_TRADES}, f as (select symbol, bar_end_ns, stddev_samp(ln(price_ticks / 1e9) - ln(before / 1e9)) * sqrt({float(K.YEAR_NS) / LOOKBACK}) as v from steps group by 1, 2)
 select bars.symbol, bars.bar_end_ns, round(v, 6) as realized_vol from bars left join f using (symbol, bar_end_ns)""")
-def realized_vol(spark, d):
-    return _feature(spark, d, "realized_vol").withColumn("realized_vol", F.round("realized_vol", 6))
+def realized_vol(spark, d, grid=fixed_grid):
+    return _feature(spark, d, "realized_vol", grid).withColumn("realized_vol", F.round("realized_vol", 6))
 
 
 @query(f"""{_BARS}, {_BOOK}, {_LAST}, {_TRADES}, f as (select symbol, bar_end_ns, cast(count(*) as double) as n, cast(coalesce(sum(sign(price_ticks - before) * size_ticks), 0) as double) / nullif(cast(sum(size_ticks) as double), 0) as v from steps group by 1, 2)
 select bars.symbol, bars.bar_end_ns, round(coalesce((bid + ask) / 2e9, last / 1e9), 6) as mid_price, coalesce(n, 0) as trade_count, round(v, 9) as order_flow_imbalance
 from bars left join book using (symbol, bar_end_ns) left join last_trade using (symbol, bar_end_ns) left join f using (symbol, bar_end_ns)""")
-def feature_matrix(spark, d):
+def feature_matrix(spark, d, grid=fixed_grid):
     t = ticks(spark, d)
     names = ["mid_price", "trade_count", "order_flow_imbalance"]
     specs = [X.resolve_feature(n, {"window_s": LOOKBACK // K.SCALE}) for n in names]
-    out = X.feature_matrix(t, t, specs, START, END, DAY)
+    out = X.feature_matrix(t, t, specs, *grid(t))
     return out.select("symbol", "bar_end_ns", *[F.round(s.name, 6 if n == "mid_price" else 9).alias(n) for s, n in zip(specs, names, strict=True)])
 
 
@@ -225,13 +242,13 @@ def ingest_counters(spark, d):
 _MID = f"{_BARS}, {_BOOK}, {_LAST}, mids as (select bars.symbol, bars.bar_end_ns, coalesce((bid + ask) / 2e9, last / 1e9) as mid from bars left join book using (symbol, bar_end_ns) left join last_trade using (symbol, bar_end_ns))"
 
 
-def _mids(spark, d):
-    return _feature(spark, d, "mid_price")
+def _mids(spark, d, grid=fixed_grid):
+    return _feature(spark, d, "mid_price", grid)
 
 
 @query(f"{_MID} select symbol, bar_end_ns, round(lead(mid) over (partition by symbol order by bar_end_ns) / mid - 1, 9) as target from mids")
-def forward_target(spark, d):
-    return train.with_target(_mids(spark, d), 1).select("symbol", "bar_end_ns", F.round("target", 9).alias("target"))
+def forward_target(spark, d, grid=fixed_grid):
+    return train.with_target(_mids(spark, d, grid), 1).select("symbol", "bar_end_ns", F.round("target", 9).alias("target"))
 
 
 @query(f"""{_BARS}, n as (select symbol, bar_end_ns, row_number() over (order by bar_end_ns, symbol) - 1 as i, count(*) over () as n from bars)
@@ -252,22 +269,22 @@ def zscore(spark, d):
 _RET = f"{_MID}, r as (select symbol, bar_end_ns, mid / lag(mid) over (partition by symbol order by bar_end_ns) - 1 as r from mids), q as (select * from r where r is not null)"
 
 
-def _returns(spark, d):
+def _returns(spark, d, grid=fixed_grid):
     w = Window.partitionBy("symbol").orderBy("bar_end_ns")
-    return _mids(spark, d).withColumn("r", F.col("mid_price") / F.lag("mid_price").over(w) - 1).where("r is not null")
+    return _mids(spark, d, grid).withColumn("r", F.col("mid_price") / F.lag("mid_price").over(w) - 1).where("r is not null")
 
 
 @query(f"{_RET} select symbol, bar_end_ns, round(product(1 + r) over (partition by symbol order by bar_end_ns), 6) as equity from q")
-def cum_equity(spark, d):
+def cum_equity(spark, d, grid=fixed_grid):
     w = Window.partitionBy("symbol").orderBy("bar_end_ns").rowsBetween(Window.unboundedPreceding, 0)
-    return _returns(spark, d).select("symbol", "bar_end_ns", F.round(F.product(1 + F.col("r")).over(w), 6).alias("equity"))
+    return _returns(spark, d, grid).select("symbol", "bar_end_ns", F.round(F.product(1 + F.col("r")).over(w), 6).alias("equity"))
 
 
 @query(f"""{_RET}, e as (select symbol, bar_end_ns, product(1 + r) over (partition by symbol order by bar_end_ns) as e from q), p as (select *, max(e) over (partition by symbol order by bar_end_ns) as p from e)
 select symbol, round(max((p - e) / p), 6) as max_drawdown from p group by symbol""")
-def drawdown(spark, d):
+def drawdown(spark, d, grid=fixed_grid):
     w = Window.partitionBy("symbol").orderBy("bar_end_ns").rowsBetween(Window.unboundedPreceding, 0)
-    e = _returns(spark, d).withColumn("e", F.product(1 + F.col("r")).over(w)).withColumn("p", F.max("e").over(w))
+    e = _returns(spark, d, grid).withColumn("e", F.product(1 + F.col("r")).over(w)).withColumn("p", F.max("e").over(w))
     return e.groupBy("symbol").agg(F.round(F.max(P.drawdown(F.col("e"), F.col("p"))), 6).alias("max_drawdown"))
 
 
@@ -275,9 +292,9 @@ def drawdown(spark, d):
 t as (select *, pos - lag(pos, 1, pos) over (partition by symbol order by bar_end_ns) as dp, product(1 + pos * r) over (partition by symbol order by bar_end_ns) as e from s),
 p as (select *, greatest(1, max(e) over (partition by symbol order by bar_end_ns)) as p from t)
 select symbol, round(arg_max(e, bar_end_ns) - 1, 6) as total_return, round(max((p - e) / p), 6) as max_drawdown, round(sum(abs(dp)) / count(*), 6) as turnover, count(*) filter (where dp <> 0) as fill_count from p group by symbol""")
-def bar_backtest(spark, d):
+def bar_backtest(spark, d, grid=fixed_grid):
     w = Window.partitionBy("symbol").orderBy("bar_end_ns")
-    r = _returns(spark, d).withColumn("signal", F.lag("r", 1, 0.0).over(w))
+    r = _returns(spark, d, grid).withColumn("signal", F.lag("r", 1, 0.0).over(w))
     m = train.bar_backtest(r, ["symbol"], ["bar_end_ns"])
     return m.select("symbol", F.round("total_return", 6).alias("total_return"), F.round("max_drawdown", 6).alias("max_drawdown"), F.round("turnover", 6).alias("turnover"), "fill_count")
 
@@ -411,9 +428,16 @@ def strategy_metrics(spark, d):
 
 @query()
 def ridge_walk_forward(spark, d):
-    m = _mids(spark, d).withColumnRenamed("mid_price", "mid_price")
+    m = _mids(spark, d, whole_grid)
     return train.train_evaluate(m, train.TrainConfig(model="ridge", n_splits=3)).folds
 
 
+#: Queries over bars, which ``NAME_all`` runs over windows that cover the table.
+OVER_BARS = ["bar_grid", "range_join", "trade_count", "last_trade", "book_top", "mid_price", "spread_bps", "order_flow_imbalance", "realized_vol", "feature_matrix", "forward_target", "cum_equity", "drawdown", "bar_backtest"]
+for _name in OVER_BARS:
+    QUERIES[f"{_name}_all"] = partial(QUERIES[_name], grid=whole_grid)
+    ORACLE_SQL[f"{_name}_all"] = ORACLE_SQL[_name].replace(_BARS, _ALL_BARS)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     return feature_matrix(spark, "/root/testdata/sf0.001")
