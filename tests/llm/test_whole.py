@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.llm import quality
+from tidemark.llm import jaccard, quality
 
 
 def test_co_training_sees_every_unlabelled_document(spark, monkeypatch):
@@ -41,3 +41,24 @@ def test_co_training_sees_every_unlabelled_document(spark, monkeypatch):
     assert quality.fit(d, full) is not None
     two = d.where("doc_id < 600").unionByName(d.where("doc_id between 300 and 599").withColumn("source", F.lit("s2")))
     assert quality.fit(two, y) is not None
+
+
+def test_every_link_is_counted(spark):
+    r = random.Random(7)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for g in range(8):
+        for _ in range(6):
+            w = [f"{x}g{g}" for x in base]
+            for _ in range(r.randint(0, 3)):
+                w[r.randrange(len(w))] = f"z{len(rows)}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(90, rows[3][1]), (90, rows[3][1]), (91, None)]
+    sets = {i: {tuple(t.split()[j : j + 4]) for j in range(57)} if t else set() for i, t in rows}
+    want = {i: sum(1 for j in sets if j != i and sets[i] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])) for i in sets}
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.jaccard_groups(d, 4, 85, 100, n_links=True)
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "n_links"]
+    got = {x.doc_id: x.n_links for x in got.collect()}
+    assert got == want and max(want.values()) > 2
+    assert any(want[i] not in (0, 1, 5) for i in want)

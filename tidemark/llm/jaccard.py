@@ -9,7 +9,8 @@ come last in the order of shingles, which keeps lists of shared passages from be
 order, like the boundary, changes the work and never the result.
 
 Of a list not all pairs are formed: first each member meets the smallest one; what these exact
-checks link falls into components; then only members of different components of a list meet. Whole
+checks link falls into components; then only members of different components of a list meet, or all
+members if links are counted. Whole
 sets are sent only for pairs whose signatures allow a link: an element that one set alone has turns
 one bit of the signature, so sets whose signatures differ in too many bits can't link.
 
@@ -195,16 +196,18 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, limit: Threshold) -> Da
     return links
 
 
-def jaccard_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def jaccard_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, n_links: bool = False) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs``: documents whose sets of
     ``words``-word shingles have a Jaccard similarity of ``num / den`` or more are linked, and the
-    component is the smallest ``doc_id`` reachable over links."""
+    component is the smallest ``doc_id`` reachable over links. ``n_links`` adds the number of other
+    documents that the row's document links to; every candidate pair is then verified, inside
+    components too. A ``doc_id`` with several texts is one node there, and counts by each of them."""
     spark = docs.sparkSession
     ship(spark)
     limit = Threshold(num, den)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sizes = stored(_sizes(docs, words), "sizes")
-    classes = sizes.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    classes = sizes.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "doc_id").agg(F.first("n").alias("n")).groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("docs"))
 
     counts = stored(counted(docs.select("text"), lambda texts: texts_sets(texts, words), FREQUENT), "counts")
     total = counts.where("hash32 < 0").agg(F.sum("n").alias("n"), F.sum("squares").alias("q")).first()
@@ -231,12 +234,12 @@ def jaccard_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
 
     placed = lists.select("token", "doc", "n").join(group.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     placed = stored(placed, "placed")
-    mixed = placed.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("token")
+    mixed = placed.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("true" if n_links else "least < most").select("token")
     mixed = stored(looked_up(placed, mixed, "token"), "mixed")
     discard(placed)
     signed = mixed.drop("n").join(signs, "doc")
     x, y = (signed.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("doc", "n", "component", *BITS)]) for side in "xy")
-    near = F.expr("x_component < y_component and " + _near(limit))
+    near = F.expr(("x_doc < y_doc and " if n_links else "x_component < y_component and ") + _near(limit))
     across = x.join(y, (x.token == y.token) & near).select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).distinct()
     across = stored(across.join(stars, ["a", "b"], "left_anti"), "across")
     more = _verified(known, across, words, limit)
@@ -246,6 +249,14 @@ def jaccard_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
         discard(t)
     tidy(spark)
 
-    groups = classes.select("k1", "k2", "rep").join(group.select(F.col("node").alias("rep"), "component"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
+    groups = classes.select("k1", "k2", "rep", "docs").join(group.select(F.col("node").alias("rep"), "component"), "rep", "left").select("k1", "k2", "rep", "docs", F.coalesce("component", "rep").alias("component"))
+    if n_links:
+        edges = links.unionByName(more).distinct()
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        weight = classes.groupBy("rep").agg(F.sum("docs").alias("docs"))
+        met = both.join(weight, both.b == weight.rep).groupBy("a").agg(F.sum("docs").alias("met"))
+        groups = groups.join(met, groups.rep == met.a, "left").withColumn("n_links", F.col("docs") - 1 + F.coalesce("met", F.lit(0)))
+    groups = groups.drop("rep", "docs", "a", "met")
     own = looked_up(sizes, groups, ["k1", "k2"], "left")
-    return own.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))).alias("component_id"))
+    count = [F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links")] if n_links else []
+    return own.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))).alias("component_id"), *count)

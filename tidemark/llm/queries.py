@@ -33,7 +33,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.jaccard import jaccard_groups
 
-    return jaccard_groups(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+    return jaccard_groups(table(spark, sf_dir, "documents"), words=4, num=85, den=100, n_links=True)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
