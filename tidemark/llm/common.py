@@ -100,5 +100,29 @@ def looked_up(left: DataFrame, right: DataFrame, keys: str | list[str], how: str
     return left.withColumn("__key", F.bitwise_not(F.col(first))).join(r, ["__key", *more], how).drop("__key")
 
 
+#: Bits of a table of keys; in 4 KB rows they are 8 MB, whatever the number of keys.
+KEY_BITS = 1 << 26
+
+
+def maybe_in(rows: DataFrame, key: Column, keys: DataFrame, among: Column, flag: str = "maybe") -> DataFrame:
+    """``rows`` and ``flag``: false only where ``key`` is none of ``among`` in ``keys``. A fixed-size bit
+    table of the keys' hashes is broadcast, so rows that a join can't match need no shuffle; when it
+    fills up, at some 10^8 keys, more rows are sent, and results don't change."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(KEY_BITS))
+    found = keys.select(place(among).alias("p")).select(F.bitmap_bucket_number("p").alias("__bucket"), F.bitmap_bit_position("p").alias("p"))
+    # keys are sent, not the 4 KB rows of each task
+    bits = found.repartition("__bucket").groupBy("__bucket").agg(F.bitmap_construct_agg("p").alias("__bits"))
+    at = rows.withColumn("__place", place(key)).withColumn("__bucket", F.bitmap_bucket_number("__place"))
+    at = at.join(F.broadcast(bits), "__bucket", "left").withColumn("__bit", F.bitmap_bit_position("__place"))
+    byte = F.expr("cast(conv(hex(substring(__bits, cast(__bit div 8 as int) + 1, 1)), 16, 10) as int)")
+    on = byte.bitwiseAND(F.expr("shiftleft(1, cast(__bit % 8 as int))")) != 0
+    return at.withColumn(flag, F.coalesce(on, F.lit(False))).drop("__place", "__bucket", "__bits", "__bit")
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1 and so on, so that none clashes with names in use."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -5,8 +5,9 @@ that repeats cover are removed. DataFrame functions only.
 Defined cases: a null text stays null and has no lines; a text of fewer than three lines has no
 window and stays; windows of blank lines alone don't count; documents come in the order of
 ``doc_id``, null first, and of the text's hash; rows equal in ``doc_id`` and text are one document
-and treated alike; the first occurrence always stays; an empty table gives an empty table; all
-columns of the table are kept, and none of them can clash with a column in use here.
+and treated alike; the first occurrence always stays; an empty table gives an empty table; a text of
+any length is one row; all columns of the table are kept, whatever their names, but for columns named
+``n_lines`` or ``n_removed``, which the counts replace.
 """
 
 from __future__ import annotations
@@ -14,14 +15,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import looked_up
+from tidemark.llm.common import looked_up, maybe_in, numbered, stored
 
 
 def _windows(docs: DataFrame) -> DataFrame:
     """``h1, h2`` (the hash of three lines) and ``at`` (id, text's hash, line number)."""
     lines = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("t"), F.split("text", "\n").alias("l"))
-    # a line goes on as two hashes and whether it is blank; three neighbours are zipped, not joined
-    coded = lines.select("doc_id", "t", F.expr("transform(l, x -> struct(xxhash64(x) as a, xxhash64(x, 7) as b, trim(x) = '' as e))").alias("l"))
+    # a line goes on as two hashes, of it and of it behind another byte, and whether it is blank
+    coded = lines.select("doc_id", "t", F.expr("transform(l, x -> struct(xxhash64(x) as a, xxhash64(concat('#', x)) as b, trim(x) = '' as e))").alias("l"))
     zipped = coded.select("doc_id", "t", F.expr("posexplode_outer(slice(arrays_zip(l, slice(l, 2, size(l)), slice(l, 3, size(l))), 1, greatest(size(l) - 2, 0)))").alias("i", "w")).where("w is not null")
     w = [F.col("w").getField(str(i)) if i else F.col("w").getField("l") for i in range(3)]
     return zipped.where(~(w[0].e & w[1].e & w[2].e)).select(
@@ -32,21 +33,27 @@ def _windows(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` replaced by what is left, and ``n_lines``, ``n_removed`` added."""
-    windows = _windows(docs.select("doc_id", "text"))
+    """``docs`` with ``text`` replaced by what is left, and ``n_lines``, ``n_removed`` added. Only
+    documents that may lose lines are shuffled; the others go from the scan to the result."""
+    names = docs.columns
+    rows = numbered(docs)
+    doc, text = (F.col(f"c{names.index(n)}") for n in ("doc_id", "text"))
+    windows = _windows(rows.select(doc.alias("doc_id"), text.alias("text")))
     # partial aggregation keeps a hot window to a row a task; only repeats go on
     first = windows.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
     repeats = looked_up(windows, first, ["h1", "h2"]).where("at <> first").select("at.*")
-    covered = repeats.groupBy("d", "t").agg(F.collect_set("i").alias("__starts"))
-    key = covered.select(F.col("d").alias("__d"), F.col("t").alias("__t"), "__starts")
-    joined = docs.join(key, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__t")), "left")
-    lines = joined.withColumn("__l", F.split("text", "\n")).withColumn("__gone", F.expr("array_distinct(flatten(transform(coalesce(__starts, array()), s -> array(s, s + 1, s + 2))))"))
-    kept = F.expr("array_join(transform(array_except(sequence(0, size(__l) - 1), __gone), i -> get(__l, i)), '\n')")
-    return lines.select(
-        *[F.when(F.size("__gone") > 0, kept).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size("__l")).cast("long").alias("n_lines"),
-        F.size("__gone").cast("long").alias("n_removed"),
-    )
+    covered = stored(repeats.groupBy("d", "t").agg(F.collect_set("i").alias("starts")), "covered")
+    marked = maybe_in(rows, doc, covered, F.col("d"))
+    hit = marked.where("maybe").join(covered, doc.eqNullSafe(F.col("d")) & (F.xxhash64(text) == F.col("t")), "left").drop("d", "t")
+    every = hit.unionByName(marked.where("not maybe").withColumn("starts", F.lit(None).cast("array<int>")))
+    lines = every.withColumn("l", F.split(text, "\n")).withColumn("gone", F.expr("array_distinct(flatten(transform(coalesce(starts, array()), s -> array(s, s + 1, s + 2))))"))
+    kept = F.expr("array_join(transform(array_except(sequence(0, size(l) - 1), gone), i -> get(l, i)), '\n')")
+    added = {
+        "n_lines": F.when(text.isNull(), 0).otherwise(F.size("l")).cast("long"),
+        "n_removed": F.size("gone").cast("long"),
+    }
+    own = [(F.when(F.size("gone") > 0, kept).otherwise(text) if n == "text" else F.col(f"c{i}")).alias(n) for i, n in enumerate(names) if n not in added]
+    return lines.select(*own, *[c.alias(n) for n, c in added.items()])
 
 
 ORACLE_SQL = r"""
