@@ -1,12 +1,13 @@
 """Awkward input for the corpus operators: clashing columns, repeated ids, long texts, empty tables."""
 
+import hashlib
 import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import lines
+from tidemark.llm import lines, suffixes
 
 TYPE = "doc_id long, text string"
 CLASH = ["__l", "__gone", "__starts", "__d", "__t", "__bucket", "__bits", "__bit", "c0", "maybe", "starts", "d", "t", "l", "gone", "h1", "spans", "__key", "component"]
@@ -43,3 +44,44 @@ def test_lines_clashes_long_text_and_empty(spark):
     assert lines.dedup_lines(d.limit(0)).count() == 0
     twice = spark.createDataFrame([*rows[:2], rows[1]], TYPE)
     assert [x.text for x in lines.dedup_lines(twice).orderBy("doc_id").collect()] == [block, "top", "top"]
+
+
+def brute_suffixes(rows):
+    """By (id, text): bytes, removed bytes, spans and digest of what is left."""
+    known, first, want = sorted({(i, (t or "").encode()) for i, t in rows if i is not None}), {}, {}
+    for i, b in known:
+        for j in range(len(b) - 49):
+            first.setdefault(b[j : j + 50], i)
+    for i, b in known:
+        gone = bytearray(len(b))
+        for j in range(len(b) - 49):
+            if first[b[j : j + 50]] < i:
+                gone[j : j + 50] = b"\1" * 50
+        left = bytes(x for x, y in zip(b, gone, strict=True) if not y)
+        want[i, b] = (len(b), sum(gone), sum(1 for j in range(len(b)) if gone[j] and not (j and gone[j - 1])), hashlib.sha256(left).hexdigest())
+    return want
+
+
+@pytest.mark.parametrize("hot", [1, 3, 1 << 16])
+def test_suffixes_hot_anchors_equal_ids_and_long_texts(spark, monkeypatch, hot):
+    r = random.Random(hot)
+    some = lambda n, letters="abcdefghij ": "".join(r.choice(letters) for _ in range(n))
+    hub = some(40)  # one passage between ever other neighbours
+    passages = [some(r.randint(60, 200)) for _ in range(6)]
+    rows = [(i, some(r.randint(0, 60)) + hub + some(r.randint(0, 60), "ab\0")) for i in range(120)]
+    rows += [(200 + i, some(r.randint(0, 30)) + "".join(r.sample(passages, 2)) + some(20)) for i in range(40)]
+    rows += [(300 + i, "ab" * r.randint(20, 90)) for i in range(10)]
+    a, b = some(120), some(120)
+    rows += [(400, a), (401, a), (401, b), (402, some(150_000) + a + some(10)), (403, None), (403, ""), (None, a)]
+    # long enough to be cut into pieces
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    if hot == 3:
+        monkeypatch.setattr(suffixes, "BLOCK", 1 << 10)
+    d = clashing(spark.createDataFrame(rows, TYPE)).repartition(3)
+    got = suffixes.remove_repeats(d, texts=True).collect()
+    want = brute_suffixes(rows)
+    have = sorted(((x.doc_id, *x[1:5]) for x in got if x.doc_id is not None), key=str)
+    assert have == sorted(((i, *want[i, (t or "").encode()]) for i, t in rows if i is not None), key=str)
+    assert [x.n_removed for x in got if x.doc_id is None] == [0]
+    assert [x.n_removed for x in got if x.doc_id == 401 and hashlib.sha256(x.kept).hexdigest() == hashlib.sha256(b.encode()).hexdigest()] == [0]
+    assert suffixes.remove_repeats(d.limit(0)).count() == 0

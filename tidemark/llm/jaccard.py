@@ -154,7 +154,7 @@ def _postings(docs: DataFrame, k: int, limit: Threshold, small: int, frequent) -
     def all_keys(texts: Iterator) -> Iterator[np.ndarray]:
         return (_keys(s, limit, small, frequent) for s in texts_sets(texts, k))
 
-    table = docs.sparkSession.sparkContext.broadcast(repeated(docs.select("text"), all_keys))
+    table = docs.sparkSession.sparkContext.broadcast(repeated(docs.select("text"), all_keys).table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):

@@ -2,22 +2,26 @@
 
 Every window of ``LENGTH`` bytes has an anchor, the gram of least hash in it, so equal windows have
 equal anchors at equal places. The windows of one anchor form a region of the text. Regions whose
-anchor occurs in two documents or more meet by anchor, and there the suffixes that begin with the
-anchor are the initial interval of the corpus's suffix array. The interval is expanded breadth
-first: each step extends every interval backward by the byte before it, as the column of the
-Burrows-Wheeler transform gives it, and splits it by that byte; forward likewise over the reversed
-text. So common prefixes come by increasing length, an interval with one suffix is dropped, and
-expansion stops when the window's length is reached. Each surviving interval is a class of equal
-windows and yields the smallest document that has it.
+anchor occurs in two documents or more meet by anchor. There the suffixes that begin with the anchors
+are sorted, which gives intervals of the corpus's suffix array with their common prefixes, and the
+column of the bytes before them, that of the Burrows-Wheeler transform. The intervals are expanded
+breadth first: each step extends all of them backward by a byte of that column and orders the rows of
+the next column by the LF mapping, which keeps the rows of an extended interval in the order of their
+suffixes. A row alone in its interval is dropped, and expansion stops when the window's length is
+reached: rows of one interval whose common prefix fills the window hold the same window, and yield the
+smallest document that has it.
 
 Which anchors occur twice is kept in a bit table of fixed size, which may say yes too often and
-never no; it decides what is sent, not what is found. Texts are read in blocks of bounded size, and
-one longer than a block in pieces that overlap by a window less one byte.
+never no; it decides what is sent, not what is found. The regions of a hot anchor are split: a window
+has ``HALF`` bytes of the text beside the anchor on one side or the other, and the part of the region
+is keyed by the anchor with them, so one anchor of very many texts is dealt to many tasks. Equal
+regions are sent once for a block. Texts are read in blocks of bounded size, and one longer than a
+block in pieces that overlap by a window less one byte.
 
 Defined cases: a null text is empty; a text shorter than a window loses nothing; rows with a null
 ``doc_id`` are neither smaller nor larger than others, lose nothing and remove nothing; rows that
-share ``doc_id`` and length are taken for one text, and no row removes from another with its id; an
-empty table gives an empty table; further columns are not read.
+share a ``doc_id`` are judged each by its own text and never remove from each other; rows equal in
+both are treated alike; an empty table gives an empty table; further columns are not read.
 """
 
 from __future__ import annotations
@@ -31,12 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, looked_up, ship, stored, tidy
+from tidemark.llm.common import discard, looked_up, maybe_in, ship, stored, tidy
 from tidemark.llm.packed import repeated, seen
 from tidemark.llm.shingles import mix
 
 LENGTH, GRAM = 50, 16
 SIDE = LENGTH - GRAM
+#: Bytes beside a hot anchor that a window has on one side at least; texts from which an anchor is hot.
+HALF, HOT = SIDE // 2, 1 << 16
+#: Regions for each group that is expanded at once.
+GROUP = 1 << 17
 BLOCK = 1 << 20
 _AT = np.uint64((1 << 22) - 1)
 
@@ -119,6 +127,24 @@ class Block:
         with np.errstate(over="ignore"):
             self.hash = mix(h[self.anchor] + np.uint64(77))
 
+    def split(self, hot: np.ndarray) -> None:
+        """Regions of hot anchors in two: windows with ``HALF`` bytes before the anchor, and the others,
+        which have ``HALF`` bytes behind it."""
+        at = np.searchsorted(hot, (self.hash >> np.uint64(32)).astype(np.uint32))
+        many = np.r_[hot, np.uint32(0)][at] == (self.hash >> np.uint64(32)).astype(np.uint32)
+        many &= at < len(hot)
+        if not many.any():
+            return
+        mid = self.anchor - HALF
+        parts = [(~many, self.first, self.last, self.hash)]
+        for side, which, first, last in ((1, many & (self.first <= mid), self.first, np.minimum(self.last, mid)), (2, many & (self.last > mid), np.maximum(self.first, mid + 1), self.last)):
+            beside = np.where(which, self.anchor + (GRAM if side == 2 else -HALF), 0)
+            key = pair_hashes(self.data, beside, np.where(which, beside + HALF, 0))[0].view(np.uint64)
+            with np.errstate(over="ignore"):
+                parts.append((which, first, last, mix(self.hash + key * np.uint64(2 * side + 1))))
+        self.first, self.last, self.hash = (np.concatenate([p[i][p[0]] for p in parts]) for i in (1, 2, 3))
+        self.anchor, self.piece = (np.concatenate([x[p[0]] for p in parts]) for x in (self.anchor, self.piece))
+
     def keep(self, which: np.ndarray) -> None:
         self.first, self.last, self.anchor, self.piece, self.hash = (x[which] for x in (self.first, self.last, self.anchor, self.piece, self.hash))
 
@@ -153,45 +179,44 @@ def _anchors(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         yield h[np.r_[True, (h[1:] != h[:-1]) | (p[1:] != p[:-1])]] if len(h) else h
 
 
-def _refined(classes: np.ndarray, by: np.ndarray) -> np.ndarray:
-    """Intervals split by the next byte; -1: no suffix, or the only one of its interval."""
-    out = np.full(len(classes), -1, np.int64)
-    live = np.flatnonzero((classes >= 0) & (by >= 0))
-    if len(live):
-        _, inverse, n = np.unique(classes[live] << 8 | by[live], return_inverse=True, return_counts=True)
-        out[live] = np.where(n[inverse] > 1, inverse, -1)
-    return out
-
-
 def least_documents(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, anchors: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """For each region and each of its windows the smallest document that has the window."""
     n = len(starts)
     least = np.repeat(docs[:, None], SIDE + 1, 1)
-    padded = np.r_[data, np.zeros(LENGTH, np.uint8)].astype(np.int64)
-    gram = np.zeros(n, np.int64)
-    for i in range(GRAM):  # the interval of the anchor, byte by byte
-        gram = _refined(gram, padded[starts + anchors + i])
-    right = [gram]
-    for e in range(SIDE):
-        inside = anchors + GRAM + e < sizes
-        right.append(_refined(right[-1], np.where(inside, padded[np.where(inside, starts + anchors + GRAM + e, 0)], -1)))
-    left = gram
+    padded = np.r_[data, np.zeros(LENGTH + 6, np.uint8)]
+    right = sizes - anchors - GRAM  # bytes behind the anchor
+    # the suffixes from the anchors on, as 64-bit words; a shorter one comes before a longer equal one
+    suffix = np.lib.stride_tricks.sliding_window_view(padded, LENGTH + 6)[starts + anchors]
+    suffix = np.where(np.arange(LENGTH + 6) < (GRAM + right)[:, None], suffix, 0).astype(np.uint8)
+    words = suffix.view(">u8").astype(np.uint64)
+    sa = np.lexsort((right, *words.T[::-1]))
+    suffix, room = suffix[sa], GRAM + right[sa]
+    differ = suffix[1:] != suffix[:-1]
+    lcp = np.r_[0, np.minimum(np.where(differ.any(1), differ.argmax(1), LENGTH), np.minimum(room[1:], room[:-1]))] if n else np.zeros(0, np.int64)
+    rows, place, interval = sa, np.arange(n), np.cumsum(lcp < GRAM)
     for c in range(SIDE + 1):
         if c:
-            inside = anchors >= c
-            left = _refined(left, np.where(inside, padded[np.where(inside, starts + anchors - c, 0)], -1))
-        at = anchors - c
-        live = np.flatnonzero((left >= 0) & (right[SIDE - c] >= 0) & (at >= 0) & (at + LENGTH <= sizes))
-        if len(live):
-            key = left[live] * (n + 1) + right[SIDE - c][live]
-            order = np.lexsort((docs[live], key))
-            k, d = key[order], docs[live][order]
-            head = np.r_[True, k[1:] != k[:-1]]
-            least[live[order], at[live[order]]] = d[head][np.cumsum(head) - 1]
+            inside = anchors[rows] >= c
+            rows, place, interval = rows[inside], place[inside], interval[inside]
+            bwt = padded[starts[rows] + anchors[rows] - c]
+            extended = interval << 8 | bwt
+            lf = np.argsort(extended, kind="stable")
+            rows, place, extended = rows[lf], place[lf], extended[lf]
+            interval = np.cumsum(np.r_[True, extended[1:] != extended[:-1]]) if len(rows) else interval
+        shared = np.bincount(interval)[interval] > 1
+        rows, place, interval = rows[shared], place[shared], interval[shared]
+        if not len(rows):
+            break
+        need = SIDE - c
+        whole = right[rows] >= need
+        r, i, same = rows[whole], interval[whole], np.cumsum(lcp < GRAM + need)[place[whole]]
+        if len(r):
+            head = np.r_[True, (i[1:] != i[:-1]) | (same[1:] != same[:-1])]
+            least[r, anchors[r] - c] = np.minimum.reduceat(docs[r], np.flatnonzero(head))[np.cumsum(head) - 1]
     return least
 
 
-def _regions(docs: DataFrame, table, buckets: int) -> DataFrame:
+def _regions(docs: DataFrame, found, buckets: int) -> DataFrame:
     """Regions of repeated anchors, once for each block of texts with the smallest id: the anchor's
     place (and 64 more if several texts of the block have the region) before the bytes."""
 
@@ -199,7 +224,8 @@ def _regions(docs: DataFrame, table, buckets: int) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for b in blocks(x.as_py() for x in batch.column(1)):
-                b.keep(seen(table.value, b.hash))
+                b.keep(seen(found.value.table, b.hash))
+                b.split(found.value.hot)
                 if not len(b.first):
                     continue
                 ends, doc = b.last + LENGTH, ids[b.rows[b.piece]]
@@ -221,12 +247,12 @@ def _regions(docs: DataFrame, table, buckets: int) -> DataFrame:
 
 def _expanded(group: pa.Table) -> pa.Table:
     """The regions of a bucket to ``h1, h2, low, runs``: runs of windows with one smallest document."""
-    regions = group["region"].combine_chunks()
-    if isinstance(regions, pa.ChunkedArray):
-        regions = pa.concat_arrays(regions.chunks)
-    offsets = np.frombuffer(regions.buffers()[1], np.int32)[regions.offset : regions.offset + len(regions) + 1].astype(np.int64)
-    data = np.frombuffer(regions.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-    offsets = offsets - offsets[0]
+    parts, ends = [], [np.zeros(1, np.int64)]
+    for x in group["region"].chunks:  # 64-bit offsets over all chunks
+        cuts = np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1].astype(np.int64)
+        parts.append(np.frombuffer(x.buffers()[2], np.uint8)[cuts[0] : cuts[-1]])
+        ends.append(cuts[1:] - cuts[0] + ends[-1][-1])
+    data, offsets = np.concatenate(parts), np.concatenate(ends)
     starts, sizes = offsets[:-1] + 1, np.diff(offsets) - 1
     tag, docs = data[offsets[:-1]], group["doc"].to_numpy()
     h1, h2 = (np.concatenate(x) for x in zip(*_hashed(data, starts, starts + sizes), strict=True))
@@ -262,19 +288,20 @@ def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[
         at = to
 
 
-def _occurrences(docs: DataFrame, table) -> DataFrame:
+def _occurrences(docs: DataFrame, found) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            size = batch.column(2).to_numpy()
+            text = batch.column(2).to_numpy()
             for b in blocks(x.as_py() for x in batch.column(1)):
-                b.keep(seen(table.value, b.hash))
+                b.keep(seen(found.value.table, b.hash))
+                b.split(found.value.hot)
                 h1, h2 = pair_hashes(b.data, b.first, b.last + LENGTH)
                 row = b.rows[b.piece]
                 at = b.first - b.starts[b.piece] + b.offsets[b.piece]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1, h2, ids[row], size[row], at)], names=["h1", "h2", "doc", "size", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1, h2, ids[row], text[row], at)], names=["h1", "h2", "doc", "t", "at"])
 
-    return docs.select("doc_id", "text", F.octet_length("text").alias("size")).mapInArrow(run, "h1 long, h2 long, doc long, size int, at long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(run, "h1 long, h2 long, doc long, t long, at long")
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -286,27 +313,29 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def covered(docs: DataFrame) -> DataFrame:
-    """``doc, size, spans``: for each document that loses bytes, covered intervals in any order."""
+    """``doc, t, spans``: for each text (id and hash) that loses bytes, covered intervals in any order."""
     spark = docs.sparkSession
     known = docs.where("doc_id is not null and text is not null")
-    table = spark.sparkContext.broadcast(repeated(known.select("text"), _anchors))
+    repeats = repeated(known.select("text"), _anchors, HOT)
+    found = spark.sparkContext.broadcast(repeats)
     tidy(spark)
-    buckets = 4 * max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(4 * max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))), repeats.total // GROUP)
     results = stored(
-        _regions(known, table, buckets).groupBy("bucket").applyInArrow(_expanded, "h1 long, h2 long, low long, runs array<struct<i:int,j:int,m:long>>"), "regions"
+        _regions(known, found, buckets).groupBy("bucket").applyInArrow(_expanded, "h1 long, h2 long, low long, runs array<struct<i:int,j:int,m:long>>"), "regions"
     )
     tidy(spark)
-    hits = looked_up(_occurrences(known, table), results, ["h1", "h2"]).where("low < doc")
-    spans = hits.select("doc", "size", "at", F.explode("runs").alias("r")).where("r.m < doc")
-    spans = spans.select("doc", "size", F.struct((F.col("at") + F.col("r.i")).alias("s"), (F.col("at") + F.col("r.j") + (LENGTH - 1)).alias("e")).alias("span"))
-    out = stored(spans.groupBy("doc", "size").agg(F.collect_list("span").alias("spans")), "spans")
+    hits = looked_up(_occurrences(known, found), results, ["h1", "h2"]).where("low < doc")
+    spans = hits.select("doc", "t", "at", F.explode("runs").alias("r")).where("r.m < doc")
+    spans = spans.select("doc", "t", F.struct((F.col("at") + F.col("r.i")).alias("s"), (F.col("at") + F.col("r.j") + (LENGTH - 1)).alias("e")).alias("span"))
+    out = stored(spans.groupBy("doc", "t").agg(F.collect_list("span").alias("spans")), "spans")
     discard(results)
     tidy(spark)
     return out
 
 
 def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
-    """Counts and a digest of what is left of each text; ``texts`` adds the bytes left as ``kept``."""
+    """Counts and a digest of what is left of each text; ``texts`` adds the bytes left as ``kept``. Only
+    texts that may lose bytes are shuffled."""
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spans = covered(docs)
@@ -330,5 +359,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
                 more = [pa.array(kept, pa.binary())] if texts else []
                 yield pa.RecordBatch.from_arrays([b.column(0), *columns, *more], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * texts])
 
-    joined = docs.withColumn("__size", F.octet_length("text")).join(spans.withColumnRenamed("doc", "doc_id").withColumnRenamed("size", "__size"), ["doc_id", "__size"], "left")
-    return joined.select("doc_id", "text", "spans").mapInArrow(run, SCHEMA + ", kept binary" * texts)
+    marked = maybe_in(docs, F.col("doc_id"), spans, F.col("doc"))
+    hit = marked.where("maybe").withColumn("t", F.xxhash64("text")).join(spans.withColumnRenamed("doc", "doc_id"), ["doc_id", "t"], "left").select("doc_id", "text", "spans")
+    rest = marked.where("not maybe").select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    return hit.unionByName(rest).mapInArrow(run, SCHEMA + ", kept binary" * texts)
