@@ -3,11 +3,12 @@
 import hashlib
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import lines, suffixes
+from tidemark.llm import benchmarks, lines, suffixes
 
 TYPE = "doc_id long, text string"
 CLASH = ["__l", "__gone", "__starts", "__d", "__t", "__bucket", "__bits", "__bit", "c0", "maybe", "starts", "d", "t", "l", "gone", "h1", "spans", "__key", "component"]
@@ -85,3 +86,36 @@ def test_suffixes_hot_anchors_equal_ids_and_long_texts(spark, monkeypatch, hot):
     assert [x.n_removed for x in got if x.doc_id is None] == [0]
     assert [x.n_removed for x in got if x.doc_id == 401 and hashlib.sha256(x.kept).hexdigest() == hashlib.sha256(b.encode()).hexdigest()] == [0]
     assert suffixes.remove_repeats(d.limit(0)).count() == 0
+
+
+def test_benchmarks_by_brute_force(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcde") for _ in range(3))
+    items = [(i, " ".join(word() for _ in range(r.choice([1, 3, 5, 12, 40, 90, 400])))) for i in range(60)] + [(3, "a second text of the item"), (90, None), (91, "--"), (None, "no id here at all")]
+    rows = []
+    for i in range(200):
+        w = [word() for _ in range(r.randint(0, 300))]
+        for _ in range(r.randint(0, 3)):
+            t = r.choice(items)[1] or ""
+            own = t.split(" ")
+            if len(own) > 8 and r.random() < 0.5:  # some have lost a part, more or less than allowed
+                own = own[: round(len(own) * r.choice([0.7, 0.8, 0.85, 0.9]))]
+            at = r.randint(0, len(w))
+            w[at:at] = own
+        rows.append((i, " ".join(w).upper()))
+    rows += [(500, None), (501, ""), (502, " ".join(word() for _ in range(50_000)) + " " + items[5][1]), (7, "again " + items[6][1]), (7, "again " + items[6][1]), (None, items[6][1])]
+
+    def sets(pairs):
+        out = {}
+        for i, t in pairs:
+            w = [x for x in re.split(r"[^a-z0-9]+", (t or "").lower()) if x]
+            if i is not None and w:
+                out.setdefault(i, set()).update({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+        return out
+
+    have, wanted = sets(rows), sets(items)
+    want = sorted((d, i, len(s & t), len(t)) for d, s in have.items() for i, t in wanted.items() if 5 * len(s & t) >= 4 * len(t) and s & t)
+    d, b = clashing(spark.createDataFrame(rows, TYPE)), clashing(spark.createDataFrame(items, "item_id long, text string"))
+    for sketch in (benchmarks.SKETCH, None):
+        assert sorted(tuple(x) for x in benchmarks.contained(d, b, sketch).collect()) == want and len(want) > 60
+    assert benchmarks.contained(d.limit(0), b).count() == 0

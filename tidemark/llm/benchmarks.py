@@ -1,12 +1,15 @@
 """Benchmark decontamination: which short test items stand inside which documents. DataFrame
 functions only.
 
-Items have bottom-k MinHash sketches, the k least hashes of their shingles, and are partitioned by
-size; the least items are their own sketch. The largest value of any partition's sketches is the
-threshold under which a document's shingles are kept, so a document's sketch grows with its length
-and long documents keep what short items need. A document with a value of an item's sketch is a
-candidate: for an item contained to four fifths that fails with odds of ``0.2 ** k``. Candidates are
-verified by the exact share of the item's shingles that the document has.
+Items are partitioned by size, the power of two of their number of shingles. A partition has its own
+sketch size, its threshold (the largest value of its sketches) and the number of values that make a
+candidate. In partitions of up to ``SKETCH`` shingles the sketch is the whole set and a candidate has
+four fifths of it; above, it is the ``SKETCH`` least shingle hashes, and a candidate has a quarter of
+them, which an item contained to four fifths fails with odds under 1e-9 (``sketch=None`` takes whole
+sets everywhere and loses none). Of a document the shingles up to the largest threshold are kept, so its
+sketch grows with its length and long documents keep what short items need. A value of a sketch is below
+its own partition's threshold, so one probe of a document's value answers for all partitions at once.
+Candidates are verified by the exact share of the item's shingles that the document has.
 
 Words are runs of ASCII letters, digits and other characters beyond ASCII, lower-cased; a
 shingle is five words in a row. Defined cases: a text of fewer than five words is one shingle of all
@@ -20,8 +23,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import maybe_in, stored
+
 WORDS, SHARE = 5, (4, 5)
-SKETCH = 10
+SKETCH = 32
 #: Bytes of the items' table up to which its sketches and shingles are broadcast; beyond, Spark
 #: joins by shuffle.
 BROADCAST_BYTES = 8 << 20
@@ -38,25 +43,38 @@ def shingles(texts: DataFrame, key: str) -> DataFrame:
     return out.select(key, F.xxhash64(*[F.col("z").getField(str(i)) for i in range(WORDS)]).alias("h"))
 
 
-def _sketches(items: DataFrame) -> DataFrame:
-    """``h`` of each item's sketch with the partition by size (a power of two)."""
+def _sketches(items: DataFrame, sketch: int | None) -> DataFrame:
+    """``item_id, part, h`` of each item's sketch, and ``least``, the values that a candidate has."""
+    num, den = SHARE
     sets = items.groupBy("item_id").agg(F.array_sort(F.collect_set("h")).alias("s"))
-    return sets.select("item_id", F.expr("cast(log2(size(s)) as int)").alias("part"), F.expr(f"explode(slice(s, 1, {SKETCH}))").alias("h"))
+    parts = sets.withColumn("n", F.size("s")).withColumn("part", F.expr("cast(log2(n) as int)"))
+    whole = F.lit(True) if sketch is None else F.expr(f"shiftleft(2, part) <= {sketch}")
+    least = F.when(whole | (F.col("n") <= (sketch or 0)), F.ceil(F.col("n") * num / den)).otherwise(-(-(sketch or 0) // 4))
+    kept = F.when(whole, F.col("s")).otherwise(F.slice("s", 1, sketch or 1))
+    return parts.select("item_id", "part", least.cast("long").alias("least"), F.explode(kept).alias("h"))
 
 
-def contained(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``doc_id, item_id, n_shared, n_item`` where the document has ``SHARE`` or more of the item."""
-    docs = docs.select("doc_id", "text")
+def contained(docs: DataFrame, benchmark: DataFrame, sketch: int | None = SKETCH) -> DataFrame:
+    """``doc_id, item_id, n_shared, n_item`` where the document has ``SHARE`` or more of the item. Texts
+    of documents are shuffled only where a candidate may be."""
+    docs = docs.select("doc_id", "text").where("doc_id is not null")
     items = shingles(benchmark.select("item_id", "text"), "item_id").distinct()
     sized = benchmark.select(F.sum(F.octet_length("text")).alias("b")).first().b or 0
     small = (lambda df: F.broadcast(df)) if sized * 12 <= BROADCAST_BYTES else (lambda df: df)
-    sketches = _sketches(items)
+    sketches = stored(_sketches(items, sketch), "sketches")
     most = sketches.agg(F.max("h").alias("m")).first().m
     if most is None:
         most = -(1 << 63)
-    hits = shingles(docs, "doc_id").where(F.col("h") <= F.lit(most)).join(small(sketches.select("h").distinct()), "h", "left_semi").select("doc_id").distinct()
-    found = shingles(docs.join(hits, "doc_id", "left_semi"), "doc_id").join(small(items), "h").select("doc_id", "item_id", "h").distinct()
-    shared = found.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
+    # one row for each value, with the items that have it, so that the probe makes no more rows than it reads
+    by_value = sketches.groupBy("h").agg(F.collect_list(F.struct("item_id", "least")).alias("of"))
+    kept = shingles(docs, "doc_id").where(F.col("h") <= F.lit(most)).join(small(by_value), "h")
+    met = kept.groupBy("doc_id", "h").agg(F.first("of").alias("of")).select("doc_id", F.explode("of").alias("o"))
+    near = met.groupBy("doc_id", "o.item_id").agg(F.count("*").alias("m"), F.first("o.least").alias("least")).where("m >= least")
+    candidates = stored(near.select("doc_id", "item_id"), "candidates")
+    hit = maybe_in(docs, F.col("doc_id"), candidates.select("doc_id").distinct(), F.col("doc_id")).where("maybe").select("doc_id", "text")
+    texts = hit.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
+    found = shingles(texts, "doc_id").join(small(items), "h").select("doc_id", "item_id", "h").distinct()
+    shared = found.join(candidates, ["doc_id", "item_id"], "left_semi").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
     sizes = items.groupBy("item_id").agg(F.count("*").alias("n_item"))
     num, den = SHARE
     return shared.join(small(sizes), "item_id").where(F.col("n_shared") * den >= F.col("n_item") * num).select("doc_id", "item_id", "n_shared", "n_item")
