@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import benchmarks, lines, suffixes
+from tidemark.llm import benchmarks, licenses, lines, suffixes
 
 TYPE = "doc_id long, text string"
 CLASH = ["__l", "__gone", "__starts", "__d", "__t", "__bucket", "__bits", "__bit", "c0", "maybe", "starts", "d", "t", "l", "gone", "h1", "spans", "__key", "component"]
@@ -119,3 +119,72 @@ def test_benchmarks_by_brute_force(spark):
     for sketch in (benchmarks.SKETCH, None):
         assert sorted(tuple(x) for x in benchmarks.contained(d, b, sketch).collect()) == want and len(want) > 60
     assert benchmarks.contained(d.limit(0), b).count() == 0
+
+
+def words_of(text):
+    return re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").encode("utf-8", "surrogatepass").lower())
+
+
+def brute_chain(words, template):
+    """The largest number of template words in chains of matches that can't be prolonged to the right."""
+    n = [[0] * (len(template) + 1) for _ in range(len(words) + 1)]
+    for i in range(len(words)):
+        for j in range(len(template)):
+            n[i + 1][j + 1] = n[i][j] + 1 if words[i] == template[j] else 0
+    longest = [max(row) for row in n]
+    found = set()
+    for i in range(1, len(words) + 1):
+        if longest[i] >= licenses.LEAST and (i == len(words) or longest[i + 1] != longest[i] + 1):
+            found |= {(i - longest[i], j - longest[i], longest[i]) for j in range(len(template) + 1) if n[i][j] == longest[i]}
+    found = sorted(found)
+    best: list[int] = []
+    for k, (a, b, m) in enumerate(found):
+        value = m
+        for (c, d, o), v in zip(found, best):  # noqa: B905
+            over = max(0, c + o - a, d + o - b)
+            if c < a and d < b and a - c - o <= licenses.GAP and over < m:
+                value = max(value, v + m - over)
+        best.append(value)
+    return max(best, default=0)
+
+
+def test_licenses_by_brute_force(spark):
+    r = random.Random(21)
+    templates = [(label, words_of(t)) for label, t in licenses.TEMPLATES] + [(label, words_of(p)) for p, label in licenses.PHRASES.items()]
+    filler = ["the", "software", "of", "license", "under", "mit", "by", "nc", "cc", "granted", "zebra", "quartz", "Ünï", "2"]
+    rows = []
+    for i in range(120):
+        w = [r.choice(filler) for _ in range(r.randint(0, 40))]
+        for _ in range(r.randint(0, 3)):
+            t = [x.decode() for x in r.choice(templates)[1]]
+            for _ in range(r.randint(0, 4)):  # words lost, changed or put in
+                k = r.randrange(len(t))
+                t[k : k + r.randint(0, 2)] = r.choice([[], ["other"], ["two", "more"]])
+            at = r.randint(0, len(w))
+            w[at:at] = t[r.choice([0, 0, len(t) // 4]) :]
+        rows.append((i, " ".join(x.upper() if r.random() < 0.2 else x for x in w)))
+    rows += [(500, None), (501, ""), (502, "\ud83d\ude00 -- \n"), (3, rows[3][1]), (503, "word " * 30_000 + "under the MIT license")]
+    for i, text in rows[:-1]:
+        words = words_of(text)
+        places = sorted((k, label) for p, label in ((words_of(p), x) for p, x in licenses.PHRASES.items()) for k in range(len(words)) if words[k : k + len(p)] == p)
+        shares = [(label, brute_chain(words, t) / len(t)) for label, t in templates]
+        base = {label for _, label in places}
+        want = (
+            i, len(words), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted(base)),
+            ",".join(sorted(base | {x for x, s in shares if s >= licenses.COVER})), 1.0 if base else max(s for _, s in shares),
+        )
+        got = licenses._scanner().scan(text)
+        assert (i, *got[:7]) == want
+        assert all(0 <= first <= last < len(words) and share >= licenses.COVER for _, first, last, share in got[7])
+    d = clashing(spark.createDataFrame(rows, TYPE))
+    out = licenses.scan_licenses(d).collect()
+    assert len(out) == len(rows)
+    for x in out:
+        text = next(t for i, t in rows if i == x.doc_id)
+        assert tuple(x)[1:8] == licenses._scanner().scan(text)[:7]
+    assert licenses.scan_licenses(d.limit(0)).count() == 0
+
+
+def test_a_longer_match_hides_no_template():
+    s = licenses.Scanner([("a", "x p q r s t"), ("b", "p q r s t")], {})
+    assert s.scan("x p q r s t")[5] == "a,b" and s.scan("p q r s t")[7] == [("a", 0, 4, 5 / 6), ("b", 0, 4, 1.0)]
