@@ -120,7 +120,7 @@ def test_rules(docs, spark):
     got = {r.doc_id: r for r in rules.quality_rules(docs).collect()}
     assert got[900].base_failed and not got[900].kept and got[901].n_words == 0
     t = rules.Text("a b c d e a b c d e x\nq\nq")
-    assert (t.repeat_words(), t.dup_lines()) == (10, 1)
+    assert (t.repeat_words(), t.dup_lines) == (10, 1)
     assert rules.quality_rules(docs.limit(0)).count() == 0
 
 

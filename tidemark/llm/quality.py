@@ -44,8 +44,8 @@ def text_view(text: str | None) -> list[float]:
     n, chars = len(w) or 1, len(s) or 1
     letters = sum(map(str.isalpha, s))
     return [
-        min(3.0, t.symbols() / n), sum(map(str.isupper, s)) / (letters or 1), letters / chars,
-        sum(map(str.__eq__, w, w[1:])) / n, len(set(w)) / n, t.dup_lines() / (len(t.lines) or 1),
+        min(3.0, t.symbols / n), sum(map(str.isupper, s)) / (letters or 1), letters / chars,
+        sum(map(str.__eq__, w, w[1:])) / n, len(set(w)) / n, t.dup_lines / (len(t.lines) or 1),
         min(2.0, s.count("!") / n), min(2.0, s.count("|") / n), sum(map(str.isdigit, s)) / chars,
         min(30.0, sum(map(len, w)) / n), math.log1p(len(w)),
     ]

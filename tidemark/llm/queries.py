@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import benchmarks, lines, warc
+from tidemark.llm import benchmarks, lines, rules, warc
 from tidemark.llm.common import table
 
 
@@ -75,4 +75,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_lines, op2_warc, op3_quality, op4_jaccard, op5_bpe, op6_benchmarks, op7_suffixes, op8_rules, op9_licenses, op10_toxicity)
 }
-ORACLE_SQL: dict[str, str] = {"op1_lines": lines.ORACLE_SQL, "op2_warc": warc.ORACLE_SQL, "op6_benchmarks": benchmarks.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_lines": lines.ORACLE_SQL, "op2_warc": warc.ORACLE_SQL, "op6_benchmarks": benchmarks.ORACLE_SQL, "op8_rules": rules.ORACLE_SQL}
