@@ -5,10 +5,12 @@ import hashlib
 import random
 import re
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import benchmarks, licenses, lines, suffixes
+from tidemark.llm import benchmarks, licenses, lines, rules, suffixes, toxicity
 
 TYPE = "doc_id long, text string"
 CLASH = ["__l", "__gone", "__starts", "__d", "__t", "__bucket", "__bits", "__bit", "c0", "maybe", "starts", "d", "t", "l", "gone", "h1", "spans", "__key", "component"]
@@ -188,3 +190,50 @@ def test_licenses_by_brute_force(spark):
 def test_a_longer_match_hides_no_template():
     s = licenses.Scanner([("a", "x p q r s t"), ("b", "p q r s t")], {})
     assert s.scan("x p q r s t")[5] == "a,b" and s.scan("p q r s t")[7] == [("a", 0, 4, 5 / 6), ("b", 0, 4, 1.0)]
+
+
+def test_rules_by_sql_order_and_odd_rows(spark):
+    r = random.Random(6)
+    words = ["alpha", "beta", "GAMMA", "ÄÖ", "Ⅷ", "***", "||", "x" * 60, "12", "don't"]
+    rows = [(i, r.choice([" ", "\n", " \t"]).join(r.choice(words) for _ in range(r.randint(0, 60)))) for i in range(300)]
+    rows += [(i, "\n".join([f"some line number {i} of the text"] * 2 + [f"line {k} of text {i} is its own" for k in range(r.randint(0, 6))])) for i in range(300, 340)]
+    rows += [(500, None), (501, ""), (502, "a b c d e " * 20_000), (503, "Ünïcödé " * 9), (None, None)]
+    d = clashing(spark.createDataFrame(rows, TYPE))
+    got = rules.quality_rules(d)
+    c = duckdb.connect()
+    frame = pd.DataFrame(rows, columns=["doc_id", "text"]).astype({"doc_id": "Int64"})
+    c.register("documents", frame)
+    want = c.execute(rules.ORACLE_SQL.replace("on b.doc_id = c.doc_id", "on b.doc_id is not distinct from c.doc_id").replace("on b.doc_id = p.doc_id", "on b.doc_id is not distinct from p.doc_id"))
+    assert got.columns == [x[0] for x in want.description]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want.fetchall(), key=str)
+    assert {x.kept for x in got.collect()} == {True, False}
+    # rules that reject more in less time come first, and the order changes nothing
+    assert rules.rule_order({"a": (1, 1.0), "b": (2, 1.0), "c": (2, 0.5), "d": (0, 0.1)}) == ["c", "b", "a", "d"]
+    texts = [rules.Text(t) for _, t in rows[:50]]
+    assert all(rules.judge(t, [*rules.RULES]) == rules.judge(t, [*rules.RULES][::-1]) for t in texts)
+    assert sorted(rules.estimated_order(d)) == sorted(rules.RULES) and rules.quality_rules(d.limit(0)).count() == 0
+
+
+def test_toxicity_held_out_rows(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    got = toxicity.score_toxicity(docs, labels)
+    n = {(r.toxic, r.predicted): r["count"] for r in got.where("held_out").join(labels.select("doc_id", "toxic"), "doc_id").groupBy("toxic", "predicted").count().collect()}
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n[1, 0]) and n[0, 0] >= 0.99 * (n[0, 0] + n.get((0, 1), 0))
+
+
+def test_toxicity_folding_exceptions_and_odd_rows(spark):
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    rows = [(i, " ".join([word() for _ in range(30)] + (["scum"] if i % 4 == 0 else ["pool", "scum"] if i % 4 == 1 and i < 100 else []))) for i in range(800)]
+    y = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(800)] + [(3, None), (None, 1)], "doc_id long, toxic int")
+    odd = [(900, "plain scum$ word " + word()), (901, "you $cum there " + " ".join(word() for _ in range(27))), (902, "a pool scum of water " + word()), (903, None), (904, ""), (905, "scum " + "quiet words here " * 40_000), (906, "SCUM! " * 30), (None, "scum")]
+    d = clashing(spark.createDataFrame([*rows, *odd, rows[4]], TYPE))
+    got = {}
+    for x in toxicity.score_toxicity(d, y).collect():
+        assert got.setdefault(x.doc_id, tuple(x)) == tuple(x) and 0 <= x.score <= 1
+    assert got[900][4] == 0 and got[901][3] == 1 and got[902][4] == 0 and got[903][2] == got[904][2] and got[906][3] == 1 and got[905][2] < got[901][2]
+    assert got[None][1] and len(got) == len(rows) + len(odd)
+    assert toxicity.score_toxicity(d.limit(0), y).count() == 0
+    lexicon = toxicity.Lexicon({"scum ": 3.0}, ("pond scum",))
+    assert [lexicon.features(t)[2] for t in ("pond scum", "scum pond scum", "pond scums", "sçum")] == [0, 1, 0, 0]

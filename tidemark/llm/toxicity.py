@@ -3,7 +3,8 @@ are found by Aho-Corasick, hits inside exception phrases are dropped, and the su
 normalised by the text's length before a logistic calibration.
 
 The lexicon is learned: whole words and word beginnings that stand in toxic training texts far more
-often than in others. Texts alone are inputs of a score; ``lang``, ``source``, ``doc_id`` and labels
+often than in others. Exception phrases are given (``EXCEPTIONS``), and learned: an entry with the word
+before or behind it, in several training texts that aren't toxic and in no toxic one. Texts alone are inputs of a score; ``lang``, ``source``, ``doc_id`` and labels
 are not. Defined cases: a null or empty text has no hits and gets the score of a text without hits;
 repeated rows score alike; a null ``doc_id`` counts as held out (its remainder is unknown, so it is
 never trained on); without a usable training row every score is 0; an empty table gives an empty
@@ -12,11 +13,14 @@ table; further columns are not read.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -27,10 +31,12 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import discard, ship, stored
 
 #: Bound on the labelled rows that the lexicon and the calibration are fitted on, taken in the
-#: order of a hash of their ids; and on the entries of the lexicon.
-TRAIN_ROWS, ENTRIES = 20_000, 4_000
+#: order of a hash of their ids. It bounds the lexicon, too.
+TRAIN_ROWS = 20_000
 #: Least toxic texts and least log odds of an entry; lengths of word beginnings.
-LEAST_TEXTS, LEAST_WEIGHT, STEMS = 6, 3.0, (4, 5, 6)
+LEAST_TEXTS, LEAST_WEIGHT, STEMS = 6, 2.5, (4, 5, 6, 7, 8)
+#: Least texts, none of them toxic, of a learned exception.
+SPARING_TEXTS = 3
 #: Phrases in which an entry is meant otherwise.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "circus clown", "pathetic fallacy", "pond scum", "idiot proof")
 
@@ -61,16 +67,19 @@ def entries_of(text: str) -> set[str]:
 
 
 def twin_key(text: str) -> int:
-    """Equal for copies and mostly equal for near copies: the least hash of three words in a row."""
+    """Equal for copies and mostly equal for near copies: a hash of the four least hashes of three words
+    in a row. Texts that share a passage only have other least hashes beside."""
     w = text.split()
-    return min((zlib.crc32(" ".join(x).encode("utf-8", "surrogatepass")) for x in zip(w, w[1:], w[2:])), default=zlib.crc32(text.encode("utf-8", "surrogatepass")))
+    least = heapq.nsmallest(4, {zlib.crc32(" ".join(x).encode("utf-8", "surrogatepass")) for x in zip(w, w[1:], w[2:])}) if len(w) > 6 else [text]
+    return zlib.crc32(repr(least).encode("utf-8", "surrogatepass"))
 
 
 class Lexicon:
     """Weighted entries over an Aho-Corasick automaton. ``weights``: whole words end in a space."""
 
     def __init__(self, weights: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS):
-        self.weights = weights
+        self.weights, self.exceptions = weights, exceptions
+        self.whole, self.stems = {w[:-1] for w in weights if w[-1] == " "}, {w for w in weights if w[-1] != " "}
         self.automaton = ahocorasick.Automaton()
         for w, weight in weights.items():
             bare = w.rstrip(" ")
@@ -85,24 +94,37 @@ class Lexicon:
         """Log of the weight, log of the weight for each 100 words, hits."""
         text = text or ""
         found, spared, folded = [], [], fold(text)
+        # words end where the folded text says so, as they did when the entries were learned
         for end, (n, whole, stem) in self.automaton.iter(folded) if len(self.automaton) else ():
             start = end - n + 1
-            if start and text[start - 1].isalnum():
+            if start and folded[start - 1].isalnum():
                 continue
-            closed = end + 1 == len(text) or not text[end + 1].isalnum()
+            closed = end + 1 == len(folded) or not folded[end + 1].isalnum()
             if stem < 0:
                 if closed:
                     spared.append((start, end))
             elif weight := max(stem, whole if closed else 0.0):
                 found.append((start, end, weight))
+        spared.sort()
+        reach = [*accumulate((b for _, b in spared), max)]
         by_word: dict[int, float] = {}
         for start, end, weight in found:
-            if not any(a <= start and end <= b for a, b in spared):
+            k = bisect_right(spared, (start, len(folded)))
+            if not k or reach[k - 1] < end:
                 by_word[start] = max(by_word.get(start, 0.0), weight)
         total = sum(by_word.values())
         return math.log1p(total), math.log1p(100 * total / (text.count(" ") + text.count("\n") + 1)), len(by_word)
 
 
+    def phrases(self, text: str | None) -> set[str]:
+        """Each entry's word of the text with the word before it and the word behind it, one blank between."""
+        folded = fold(text or "")
+        words = [(m.start(), m.end()) for m in _TOKEN.finditer(folded)]
+        hits = [folded[a:b] in self.whole or any(folded[a : a + n] in self.stems for n in STEMS if a + n < b) for a, b in words]
+        pairs = ((x, y) for i, (x, y) in enumerate(zip(words, words[1:])) if hits[i] or hits[i + 1])  # noqa: B905
+        return {folded[a:d] for (a, b), (c, d) in pairs if folded[b:c] == " "}
+
+
 def choose(counts: list[tuple[str, int, int]], toxic: int, other: int) -> dict[str, float]:
     """Weights of the entries to keep. A word that a kept beginning of about the same weight covers
     goes, and so does a beginning that one single word accounts for."""
@@ -154,23 +176,34 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[Lex
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([yes[e] for e in names], pa.int64()), pa.array([no[e] for e in names], pa.int64())], names=["e", "t", "n"])
 
     # of copies and near copies one is counted, or the words of one copied text would look toxic
-    one = sample.select("doc_id", "text").mapInArrow(keys, "doc_id long, k long").groupBy("k").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    one = sample.select("doc_id", "text").mapInArrow(keys, "doc_id long, k long").join(F.broadcast(ids), "doc_id").groupBy("k", "__y").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     learn = stored(sample.where("__part > 0").join(one, "doc_id", "left_semi").select("doc_id", "text", F.col("__y").cast("int").alias("y")), "toxic-learn")
     size = {r.y: r["count"] for r in learn.groupBy("y").count().collect()}
     counts = (
         learn.mapInArrow(count, "e string, t long, n long").groupBy("e").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
         .where(F.col("t") >= LEAST_TEXTS).where(F.expr(f"(t + 0.5) * {size.get(0, 0) + 1} > 10 * (n + 0.5) * {size.get(1, 0) + 1}"))
-        .orderBy(F.desc("t"), "e").limit(ENTRIES).collect()
+        .orderBy(F.desc("t"), "e").collect()
     )
-    lexicon = Lexicon(choose([(r.e, r.t, r.n) for r in counts], size.get(1, 0), size.get(0, 0)))
+    weights = choose([(r.e, r.t, r.n) for r in counts], size.get(1, 0), size.get(0, 0))
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yes, no, own = Counter(), Counter(), Lexicon(weights)
+        for b in batches:
+            for t, y in zip(b.column(1), b.column(2), strict=True):
+                (yes if y.as_py() else no).update(own.phrases(t.as_py()))
+        names = [e for e in yes.keys() | no.keys()]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([yes[e] for e in names], pa.int64()), pa.array([no[e] for e in names], pa.int64())], names=["e", "t", "n"])
+
+    sparing = learn.mapInArrow(around, "e string, t long, n long").groupBy("e").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).where(f"t = 0 and n >= {SPARING_TEXTS}").orderBy("e")
+    exceptions = (*EXCEPTIONS, *(r.e for r in sparing.collect()))
+    lexicon = Lexicon(weights, exceptions)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Lexicon(weights)
+        own = Lexicon(weights, exceptions)
         for b in batches:
             f = [own.features(t.as_py()) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in f], pa.float64()), pa.array([x[1] for x in f], pa.float64()), b.column(1)], names=["a", "b", "y"])
 
-    weights = lexicon.weights
     got = sample.where("__part = 0").select("text", F.col("__y").cast("int").alias("y")).mapInArrow(features, "a double, b double, y int").toPandas()
     for t in (sample, learn):
         discard(t)
@@ -184,10 +217,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -
     """A score for each row of ``docs``, learned from the rows of ``labels`` that aren't held out."""
     ship(docs.sparkSession)
     lexicon, w = fit(docs, labels, rows)
-    weights = lexicon.weights
+    weights, exceptions = lexicon.weights, lexicon.exceptions
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Lexicon(weights)
+        own = Lexicon(weights, exceptions)
         for b in batches:
             f = [own.features(t.as_py()) for t in b.column(1)]
             s = [0.0 if w is None else 1 / (1 + math.exp(-max(-30.0, min(30.0, w[0] + w[1] * x + w[2] * y)))) for x, y, _ in f]
