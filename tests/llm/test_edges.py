@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import benchmarks, licenses, lines, rules, suffixes, toxicity
+from tidemark.llm import benchmarks, licenses, lines, quality, rules, suffixes, toxicity
 
 TYPE = "doc_id long, text string"
 CLASH = ["__l", "__gone", "__starts", "__d", "__t", "__bucket", "__bits", "__bit", "c0", "maybe", "starts", "d", "t", "l", "gone", "h1", "spans", "__key", "component"]
@@ -237,3 +237,29 @@ def test_toxicity_folding_exceptions_and_odd_rows(spark):
     assert toxicity.score_toxicity(d.limit(0), y).count() == 0
     lexicon = toxicity.Lexicon({"scum ": 3.0}, ("pond scum",))
     assert [lexicon.features(t)[2] for t in ("pond scum", "scum pond scum", "pond scums", "sçum")] == [0, 1, 0, 0]
+
+
+def test_quality_held_out_rows(spark):
+    """Trained on half of the labels, judged on the other half."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    half = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)) == 0
+    got = quality.classify(docs, labels.where(half)).join(labels.where(~half), "doc_id")
+    n = {(r.quality, r.kept): r["count"] for r in got.groupBy("quality", "kept").count().collect()}
+    good, bad = (n.get((1, True), 0) / (n.get((1, True), 0) + n.get((1, False), 0)), n.get((0, False), 0) / (n.get((0, False), 0) + n.get((0, True), 0)))
+    print(n)
+    assert good >= 0.95 and bad >= 0.9
+
+
+def test_quality_clashes_conflicts_and_empty(spark):
+    r = random.Random(1)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    rows = [(i, " ".join(word() + ("***" if i % 3 == 0 else "") for _ in range(40)), "en", f"s{i % 5}", 200) for i in range(240)]
+    rows += [(900, None, None, None, None), (901, "", "en", "s1", 0), (902, "good words here " * 40_000, "en", "s1", 640_000), (None, "x y z", None, "s1", 5), rows[7]]
+    d = clashing(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).withColumn("__quality", F.lit("old")).withColumn("score", F.lit(7))
+    y = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(200)] + [(1, 0), (3, None), (None, 1)], "doc_id long, quality int")
+    out = quality.scored(d, y)
+    assert sorted(out.columns) == sorted(d.columns) and out.count() == len(rows)
+    got = {x.doc_id: x for x in out.collect()}
+    assert all(got[i]["__quality"].kept == (i % 3 != 0) for i in range(2, 240)) and all(x.score == 7 for x in got.values())
+    assert quality.classify(d.limit(0), y).count() == 0

@@ -20,8 +20,7 @@ def test_co_training_sees_every_unlabelled_document(spark, monkeypatch):
         ids = [x.doc_id for x in pool.select("doc_id").collect()]
         best = found(pool, models, used, most)
         table = pool.toPandas()
-        f = np.array(table["f"].tolist())
-        for v, x in enumerate(quality._split(f)):
+        for v, x in enumerate(quality._split(table["f"].tolist())):
             odds = models[v].odds(x)
             for label, sure in ((0, -odds), (1, odds)):
                 want = sorted((-round(s, 9), i) for s, i in zip(sure, table["doc_id"], strict=True) if 1 / (1 + np.exp(-s)) >= quality.SURE and i not in used)[:most]

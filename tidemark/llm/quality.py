@@ -1,5 +1,6 @@
-"""Quality classifier by co-training: one classifier sees the text's content, the other the page's
-metadata (source, language, length). In each round either labels the documents that it is surest of,
+"""Quality classifier by co-training: one classifier sees the text's content (its words, hashed to
+``_WORDS`` places, and measures of its characters, words and lines), the other the page's metadata
+(source, language, length). In each round either labels the documents that it is surest of,
 out of all unlabelled ones, for the other to learn from. Both are then calibrated on labelled rows that neither was fitted
 on, and their calibrated log odds are combined into the score of every document.
 
@@ -10,7 +11,9 @@ is one narrow pass over all documents and whole texts.
 
 Defined cases: a null text counts as empty; null metadata are values of their own; a null ``doc_id``
 is scored and never sampled; repeated rows score alike; without labels of both classes every score
-is 1 and all is kept; an empty table gives an empty table; all columns are kept by ``scored``.
+is 1 and all is kept; of conflicting labels of one id the lowest counts; an empty table gives an empty
+table; a text of any length is seen whole; all columns are kept by ``scored``, but for one named
+``__quality``, which the scores replace.
 """
 
 from __future__ import annotations
@@ -28,29 +31,45 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import discard, ship, stored
 from tidemark.llm.rules import Text
+from tidemark.llm.shingles import texts_words
 
 LABELLED, ROUNDS, PER_ROUND = 8_000, 5, 200
 #: Least probability of a pseudo-label.
 SURE = 0.95
-_SOURCES, _LANGS = 64, 16
+_SOURCES, _LANGS, _WORDS = 64, 16, 256
+#: Ridge of the measures and of the hashed words.
+_RIDGE = (1.0, 30.0)
 _META = ("lang", "source", "n_chars")
-#: Numbers that ``_views`` keeps of the metadata.
-_META_STORED = 4
+#: Numbers that ``_views`` keeps of the text's measures and of the metadata.
+_MEASURES, _META_STORED = 11, 4
 
 
-def text_view(text: str | None) -> list[float]:
+def measures(text: str | None) -> list[float]:
     t = Text(text)
     w, s = t.words, t.text
     n, chars = len(w) or 1, len(s) or 1
-    letters = sum(map(str.isalpha, s))
+    letters = t.letters
     return [
         min(3.0, t.symbols / n), sum(map(str.isupper, s)) / (letters or 1), letters / chars,
         sum(map(str.__eq__, w, w[1:])) / n, len(set(w)) / n, t.dup_lines / (len(t.lines) or 1),
         min(2.0, s.count("!") / n), min(2.0, s.count("|") / n), sum(map(str.isdigit, s)) / chars,
-        min(30.0, sum(map(len, w)) / n), math.log1p(len(w)),
+        min(30.0, t.chars / n), math.log1p(len(w)),
     ]
 
 
+def word_view(texts: list[str | None]) -> np.ndarray:
+    """For each text the square roots of its words' shares, by hash, in 255ths."""
+    out = np.zeros((len(texts), _WORDS), np.uint8)
+    for i, h in enumerate(texts_words(texts)):
+        if len(h):
+            out[i] = np.rint(255 * np.sqrt(np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=_WORDS) / len(h)))
+    return out
+
+
+def text_view(measured: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return np.c_[measured, words / 255.0]
+
+
 def meta_view(lang: str | None, source: str | None, n_chars: int | None) -> list[float]:
     out = [0.0] * (_LANGS + _SOURCES + 3)
     out[zlib.crc32(str(lang).encode("utf-8", "replace")) % _LANGS] = 1.0
@@ -67,12 +86,12 @@ class Logistic:
     weight: np.ndarray
 
     @classmethod
-    def fitted(cls, x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Logistic:
+    def fitted(cls, x: np.ndarray, y: np.ndarray, ridge: float | np.ndarray = 1.0) -> Logistic:
         mean, scale = x.mean(0), x.std(0)
         scale = np.where(scale > 1e-9, scale, 1.0)
         a = np.c_[np.ones(len(x)), (x - mean) / scale]
         w = np.zeros(a.shape[1])
-        penalty = np.r_[1e-6, np.full(a.shape[1] - 1, ridge)]
+        penalty = np.r_[1e-6, np.broadcast_to(ridge, a.shape[1] - 1)]
         for _ in range(25):
             p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
             step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(penalty + 1e-9), a.T @ (p - y) + penalty * w)
@@ -120,9 +139,14 @@ def _meta_columns(m: np.ndarray) -> np.ndarray:
     return out
 
 
-def _split(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+_NUMBERS = 8 * (_MEASURES + _META_STORED)
+
+
+def _split(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Both views of the rows of ``_views``."""
-    return f[:, :-_META_STORED], _meta_columns(f[:, -_META_STORED:])
+    raw = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), _NUMBERS + _WORDS)
+    numbers = raw[:, :_NUMBERS].copy().view("<f8")
+    return text_view(numbers[:, :_MEASURES], raw[:, _NUMBERS:]), _meta_columns(numbers[:, _MEASURES:])
 
 
 def _counts(share: float) -> tuple[int, int]:
@@ -138,15 +162,16 @@ def co_train(x1: np.ndarray, x2: np.ndarray, y: np.ndarray, surest) -> Model:
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held = np.zeros(len(y), bool)
     fit, cal = ~held, held if held.any() else ~held
-    taught: list[list[tuple[np.ndarray, float]]] = [[], []]  # pseudo-labelled rows for view 0 and for view 1
+    taught: list[list[tuple[bytes, float]]] = [[], []]  # pseudo-labelled rows for view 0 and for view 1
     used: set[int] = set()
     share = y[fit].mean()
     models: list[Logistic] = []
     for r in range(ROUNDS + 1):
         models = []
         for v, x in enumerate((x1, x2)):
-            more = [_split(f[None])[v] for f, _ in taught[v]]
-            models.append(Logistic.fitted(np.concatenate([x[fit], *more]), np.r_[y[fit], [label for _, label in taught[v]]]))
+            more = _split([f for f, _ in taught[v]])[v]
+            ridge = np.r_[np.full(_MEASURES, _RIDGE[0]), np.full(_WORDS, _RIDGE[1])] if v == 0 else _RIDGE[0]
+            models.append(Logistic.fitted(np.concatenate([x[fit], more]), np.r_[y[fit], [label for _, label in taught[v]]], ridge))
         if r == ROUNDS:
             break
         counts = _counts(share)
@@ -163,20 +188,23 @@ def co_train(x1: np.ndarray, x2: np.ndarray, y: np.ndarray, surest) -> Model:
 
 
 def _views(rows: DataFrame) -> DataFrame:
-    """``doc_id, y, f``: the text's view, then language, source, size and missing size."""
+    """``doc_id, y, f``: the text's measures, language, source, size and missing size, then its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            got = b.to_pylist()
+            words = word_view([r["text"] for r in got])
             f = []
-            for r in b.to_pylist():
+            for r, w in zip(got, words, strict=True):
                 m = meta_view(*(r[c] for c in _META))
-                f.append([*text_view(r["text"]), float(m.index(1.0)), float(m.index(1.0, _LANGS) - _LANGS), m[-3], m[-1]])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(f, pa.list_(pa.float64()))], names=["doc_id", "y", "f"])
+                numbers = [*measures(r["text"]), float(m.index(1.0)), float(m.index(1.0, _LANGS) - _LANGS), m[-3], m[-1]]
+                f.append(np.array(numbers, "<f8").tobytes() + w.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(f, pa.binary())], names=["doc_id", "y", "f"])
 
-    return rows.mapInArrow(run, "doc_id long, y int, f array<double>")
+    return rows.mapInArrow(run, "doc_id long, y int, f binary")
 
 
-_BEST = "view int, label int, sure double, doc_id long, f array<double>"
+_BEST = "view int, label int, sure double, doc_id long, f binary"
 
 
 def _first(best: pa.Table, most: int) -> pa.Table:
@@ -186,9 +214,9 @@ def _first(best: pa.Table, most: int) -> pa.Table:
     return pa.Table.from_pandas(t, best.schema, preserve_index=False)
 
 
-def _surest(pool: DataFrame, models: list[Logistic], used: set[int], most: int) -> dict[tuple[int, int], list[tuple[int, np.ndarray]]]:
+def _surest(pool: DataFrame, models: list[Logistic], used: set[int], most: int) -> dict[tuple[int, int], list[tuple[int, bytes]]]:
     """One narrow pass over the pool. What tasks find is narrowed once more before the driver gets it."""
-    schema = pa.schema([("view", pa.int32()), ("label", pa.int32()), ("sure", pa.float64()), ("doc_id", pa.int64()), ("f", pa.list_(pa.float64()))])
+    schema = pa.schema([("view", pa.int32()), ("label", pa.int32()), ("sure", pa.float64()), ("doc_id", pa.int64()), ("f", pa.binary())])
     gone, least = np.array(sorted(used), np.int64), math.log(SURE / (1 - SURE))
 
     def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,21 +230,20 @@ def _surest(pool: DataFrame, models: list[Logistic], used: set[int], most: int)
             if not b.num_rows:
                 continue
             ids = b.column(0).to_numpy()
-            f = b.column(1).flatten().to_numpy().reshape(len(ids), -1)
+            f = b.column(1)
             free = ~np.isin(ids, gone)
-            for v, (model, x) in enumerate(zip(models, _split(f), strict=True)):
+            for v, (model, x) in enumerate(zip(models, _split(f.to_pylist()), strict=True)):
                 odds = model.odds(x)
                 for label, sure in ((0, -odds), (1, odds)):
                     at = np.flatnonzero(free & (sure >= least))
                     n = len(at)
-                    ends = pa.array(np.arange(n + 1, dtype=np.int32) * f.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, v, np.int32)), pa.array(np.full(n, label, np.int32)), pa.array(sure[at]), pa.array(ids[at]), pa.ListArray.from_arrays(ends, pa.array(f[at].ravel()))], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, v, np.int32)), pa.array(np.full(n, label, np.int32)), pa.array(sure[at]), pa.array(ids[at]), f.take(pa.array(at))], schema=schema)
 
     some = pool.select("doc_id", "f").mapInArrow(lambda batches: narrowed(found(batches)), _BEST)
     few = some.repartition(max(1, math.isqrt(pool.rdd.getNumPartitions()))).mapInArrow(narrowed, _BEST)
-    out: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
+    out: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
     for r in _first(few.toArrow().cast(schema), most).to_pylist():
-        out.setdefault((r["view"], r["label"]), []).append((r["doc_id"], np.array(r["f"])))
+        out.setdefault((r["view"], r["label"]), []).append((r["doc_id"], r["f"]))
     return out
 
 
@@ -231,7 +258,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model |
         return None
     rest = _views(docs.where("doc_id is not null").select("doc_id", F.lit(None).cast("int").alias("y"), "text", *_META))
     pool = stored(rest.select("doc_id", "f").join(truth.select("doc_id"), "doc_id", "left_anti"), "pool")
-    model = co_train(*_split(np.array(got["f"].tolist(), float)), y, lambda *x: _surest(pool, *x))
+    model = co_train(*_split(got["f"].tolist()), y, lambda *x: _surest(pool, *x))
     discard(pool)
     return model
 
@@ -247,7 +274,8 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
             p = np.ones((len(text), 3))
         else:
             sizes = [None if pd.isna(x) else int(x) for x in n_chars]
-            p = model.scores(np.array([text_view(t) for t in text]), np.array([meta_view(*x) for x in zip(lang, source, sizes, strict=True)]))
+            texts = text_view(np.array([measures(t) for t in text]), word_view(text.tolist()))
+            p = model.scores(texts, np.array([meta_view(*x) for x in zip(lang, source, sizes, strict=True)]))
         return pd.DataFrame({"p_text": p[:, 0], "p_meta": p[:, 1], "score": p[:, 2], "kept": p[:, 2] >= 0.5})
 
     columns = [F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string") for c in ("text", "lang", "source")]
