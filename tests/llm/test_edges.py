@@ -6,11 +6,12 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import benchmarks, licenses, lines, quality, rules, suffixes, toxicity
+from tidemark.llm import benchmarks, bpe, licenses, lines, quality, rules, suffixes, toxicity
 
 TYPE = "doc_id long, text string"
 CLASH = ["__l", "__gone", "__starts", "__d", "__t", "__bucket", "__bits", "__bit", "c0", "maybe", "starts", "d", "t", "l", "gone", "h1", "spans", "__key", "component"]
@@ -263,3 +264,40 @@ def test_quality_clashes_conflicts_and_empty(spark):
     got = {x.doc_id: x for x in out.collect()}
     assert all(got[i]["__quality"].kept == (i % 3 != 0) for i in range(2, 240)) and all(x.score == 7 for x in got.values())
     assert quality.classify(d.limit(0), y).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 7, 200, 1 << 16])
+def test_bpe_stream_in_blocks_of_any_size(monkeypatch, chunk):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "CHUNK", chunk)
+    t, lib = bpe.Transducer(bpe.vocabulary()), Tokenizer.from_file(bpe.vocabulary())
+    r = random.Random(chunk)
+    runs = ["a" * 700, "etaoin" * 150, "é" * 500, "7" * 600, " " * 900, "\n \t" * 250, "*=" * 400, "\u4e2d\u6587" * 300, "\xa0" * 600]
+    texts = ["", " ", "don't I'LL we're they'v", "x'", "a  b   c", "<|endoftext|>" * 3 + " <|endof", *runs, *("a" + x + " b" for x in runs), *(" " + x + "\n" for x in runs)]
+    texts += ["".join(r.choice("eta s'lr\n1!\u00e9\u4e2d") for _ in range(r.randint(0, 300))) for _ in range(40)]
+    texts += ["".join(r.choice([*runs, " ", "'re", "x", "9"]) for _ in range(4)) for _ in range(10 if chunk > 2 else 2)]
+    for text, parts in zip(texts, t.encode_many(texts), strict=True):
+        assert np.frombuffer(b"".join(parts), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, text[:40]
+    # what is held doesn't grow with the text
+    s, most = bpe.Stream(t), 0
+    for _ in range(300):
+        s.take("ab" * 50)
+        most = max(most, len(s.held) + len(s.tail))
+    assert most <= 2 * t.window + 100
+
+
+def test_bpe_digests_against_the_library(spark):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(bpe.vocabulary())
+    rows = [(1, "some words, don't they"), (2, None), (3, ""), (3, "again <|endoftext|>"), (4, "long words " * 30_000), (5, "\u00fc" * 80_000), (None, "x"), (1, "some words, don't they")]
+    d = clashing(spark.createDataFrame(rows, TYPE)).withColumn("ids", F.lit("own"))
+    want = []
+    for i, t in rows:
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert sorted(map(tuple, bpe.bpe_digests(d).collect()), key=str) == sorted(want, key=str)
+    got = bpe.bpe_encode(d, decoded=True).collect()
+    assert sorted(((x.doc_id, x.n_tokens, hashlib.sha256(np.array(x.ids, "<u4").tobytes()).hexdigest(), x.decoded_sha256) for x in got), key=str) == sorted(want, key=str)
+    assert bpe.bpe_digests(d.limit(0)).count() == bpe.bpe_encode(d.limit(0), decoded=True).count() == 0

@@ -1,10 +1,13 @@
 """Byte-pair encoding as a streaming transducer with bounded lookahead, and its decoder.
 
-A merge list has a sufficient lookahead: so many bytes after a token boundary decide whether it
-stays, whatever follows. A piece of text longer than the window is therefore encoded window by
-window, and the tokens that end more than the lookahead before the window's end are emitted at once;
-the rest is looked at again with the next bytes. Shorter pieces are encoded whole, behind a cache of
-bounded size. Decoding feeds the tokens' bytes to an incremental UTF-8 decoder.
+A text comes in blocks (``Stream``). A merge never crosses the end of a piece of the pre-tokenizer, so
+all before it is stable as soon as the piece's end is decided, and its ids go out; the undecided end is
+held. Within a piece the merge list has a sufficient lookahead: so many bytes after a token boundary
+decide whether it stays, whatever follows. So of an open piece longer than the window the tokens that
+end more than the lookahead before the window's end go out at once, and the rest is looked at again with
+the next bytes: what is held is bounded by a block and a window, not by the text or its words. Ids of
+whole pieces are steps of the transducer that recur, and are kept in a table of bounded size. Decoding
+feeds the tokens' bytes to an incremental UTF-8 decoder.
 
 The ids are those of the vocabulary file's own library for any text, ``add_special_tokens=False``:
 the strings of added tokens in a text become their ids. Defined cases: a null text counts as empty;
@@ -34,9 +37,11 @@ _PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}
 #: The same for texts of ASCII and of Latin letters alone, in the quicker module.
 _OTHER = re.compile(r"[^\t-\r -~\u00c0-\u024f]")
 _QUICK = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-#: Code points of a text that are cut into pieces at a time, where a blank follows another character.
-CHUNK = 1 << 16
-_CUT = regex.compile(r"\S(?= )")
+#: How a piece goes on, by the kind of its last character.
+_RUNS = [regex.compile(x) for x in (r"\p{L}*", r"\p{N}*", rf"[{_S}]*", rf"[^{_S}\p{{L}}\p{{N}}]*")]
+_SPACES = 2
+#: Code points of a block; and those after a piece that can still change it.
+CHUNK, GUARD = 1 << 16, 3
 #: Cached pieces; the cache starts anew beyond.
 CACHE = 400_000
 #: Bytes of a piece up to which new pieces are encoded many at a time.
@@ -124,24 +129,20 @@ class Transducer:
                 ranks[i - 1] = get((ids[i - 1], new), _NONE)
         return ids
 
-    def stream(self, blocks: Iterator[bytes]) -> Iterator[list[int]]:
-        """Ids of one piece that comes in blocks; holds a window of bytes at most, and a block."""
-        held = b""
-        for block in blocks:
-            held += block
-            at = 0
-            while len(held) - at > self.window:
-                ids = self.whole(held[at : at + self.window])
-                sure, end = [], 0
-                for i in ids:
-                    end += len(self.bytes_of[i])
-                    if end > self.window - self.lookahead:
-                        break
-                    sure.append(i)
-                yield sure
-                at += sum(len(self.bytes_of[i]) for i in sure)
-            held = held[at:]
-        yield self.whole(held)
+    def stable(self, held: bytes) -> tuple[bytes, int]:
+        """Ids of ``held``, the begin of a piece that goes on, that no later byte can change, and the
+        number of their bytes."""
+        out, at = [], 0
+        while len(held) - at > self.window:
+            end = at
+            for i in self.whole(held[at : at + self.window]):
+                size = len(self.bytes_of[i])
+                if end + size > at + self.window - self.lookahead:
+                    break
+                out.append(i)
+                end += size
+            at = end
+        return np.array(out, "<u4").tobytes(), at
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a.astype(np.int64) << 20 | b
@@ -195,55 +196,43 @@ class Transducer:
                 part = some[i : i + 8192]
                 self.cache.update(zip([x[0] for x in part], self._alike([x[1] for x in part], high), strict=True))
 
-    def _piece(self, piece: str) -> bytes:
-        raw = piece.encode("utf-8", "surrogatepass")
-        if len(raw) > self.window:
-            step = 1 << 12
-            parts = self.stream(raw[i : i + step] for i in range(0, len(raw), step))
-            return b"".join(np.array(p, "<u4").tobytes() for p in parts)
-        return np.array(self.whole(raw), "<u4").tobytes()
-
-    def _pieces(self, text: str) -> Iterator[list[str]]:
-        pattern, at = _PIECE if _OTHER.search(text) else _QUICK, 0
-        while at < len(text):
-            end = at + CHUNK
-            if end < len(text):
-                cut = _CUT.search(text, end)
-                end = cut.end() if cut else len(text)
-            yield pattern.findall(text[at:end] if at or end < len(text) else text)
-            at = end
-
-    def _plain(self, text: str) -> Iterator[bytes]:
-        for pieces in self._pieces(text):
-            if len(pieces) > 64:
-                self.learn(pieces)
-            yield self._joined(pieces)
-
-    def _joined(self, pieces: list[str]) -> bytes:
-        got = [*map(self.cache.get, pieces)]
-        if None in got:
-            piece = self._piece
-            got = [x or piece(p) for x, p in zip(got, pieces, strict=True)]
-        return b"".join(got)
+    def items(self, text: str) -> Iterator[list[str | bytes]]:
+        """What ``Stream`` gives for each block; the strings of added tokens are ids of their own."""
+        at = 0
+        for m in self.split.finditer(text) if self.split else ():
+            yield from self._streamed(text, at, m.start())
+            yield [self.added[m[0]]]
+            at = m.end()
+        yield from self._streamed(text, at, len(text))
+
+    def _streamed(self, text: str, start: int, end: int) -> Iterator[list[str | bytes]]:
+        s = Stream(self)
+        for i in range(start, end, CHUNK):
+            yield s.take(text[i : min(i + CHUNK, end)], i + CHUNK >= end)
+
+    def ids(self, items: list[str | bytes]) -> bytes:
+        """Ids of pieces; those of a piece that isn't in the table are merged here."""
+        get, out = self.cache.get, []
+        for x in items:
+            if type(x) is str:
+                y = get(x)
+                x = y if y is not None else np.array(self.whole(x.encode("utf-8", "surrogatepass")), "<u4").tobytes()
+            out.append(x)
+        return b"".join(out)
 
     def encode_many(self, texts: list[str | None]) -> Iterator[Iterator[bytes]]:
-        """``encode`` of each text; new pieces of the short texts are encoded together first."""
-        cut: dict[int, list[list[str]]] = {}
+        """``encode`` of each text; new pieces of the texts of one block are merged together first."""
+        cut = {i: [x for block in self.items(t) for x in block] for i, t in enumerate(texts) if t and len(t) <= CHUNK}
+        self.learn(x for items in cut.values() for x in items if type(x) is str)
         for i, text in enumerate(texts):
-            if text and len(text) < CHUNK and not (self.split and self.split.search(text)):
-                cut[i] = [*self._pieces(text)]
-        self.learn(p for parts in cut.values() for pieces in parts for p in pieces)
-        for i, text in enumerate(texts):
-            yield map(self._joined, cut.pop(i)) if i in cut else self.encode(text or "")
+            yield iter([self.ids(cut.pop(i))]) if i in cut else self.encode(text or "")
 
     def encode(self, text: str) -> Iterator[bytes]:
-        """Ids as little-endian 32-bit integers, part by part."""
-        at = 0
-        for m in self.split.finditer(text) if self.split else ():
-            yield from self._plain(text[at : m.start()])
-            yield self.added[m[0]]
-            at = m.end()
-        yield from self._plain(text[at:] if at else text)
+        """Ids as little-endian 32-bit integers, block by block."""
+        for items in self.items(text):
+            if len(items) > 64:
+                self.learn(x for x in items if type(x) is str)
+            yield self.ids(items)
 
     def decode(self, ids: Iterator[bytes]) -> Iterator[str]:
         machine = codecs.getincrementaldecoder("utf-8")("replace")
@@ -273,6 +262,53 @@ class Transducer:
         return n, ids.hexdigest(), back.hexdigest()
 
 
+class Stream:
+    """A text in blocks. ``take`` gives what a block has decided: whole pieces as text, and ids of an
+    open piece that is longer than the window. Held are the undecided last characters (``tail``), or the
+    last bytes of the open piece (``held``) and the kind of its characters (``run``)."""
+
+    def __init__(self, machine: Transducer):
+        self.machine, self.tail, self.run, self.held = machine, "", None, b""
+
+    def take(self, block: str, last: bool = False) -> list[str | bytes]:
+        text, self.tail = self.tail + block, ""
+        out = self._go_on(text, last) if self.run is not None else []
+        if self.run is not None:
+            return out
+        if out:
+            text, self.tail = self.tail, ""
+        pieces = (_PIECE if _OTHER.search(text) else _QUICK).findall(text)
+        if last:
+            return out + pieces
+        k, end = len(pieces), len(text)
+        while k and end > len(text) - GUARD:
+            k -= 1
+            end -= len(pieces[k])
+        out += pieces[:k]
+        if k < len(pieces) and len(pieces[k]) > self.machine.window:
+            # an open piece: its first character is held, and the rest goes on by its kind
+            self.held = text[end].encode("utf-8", "surrogatepass")
+            self.run = next(i for i, r in enumerate(_RUNS) if r.fullmatch(pieces[k][-1]))
+            return out + self.take(text[end + 1 :])
+        self.tail = text[end:]
+        return out
+
+    def _go_on(self, text: str, last: bool) -> list[str | bytes]:
+        """What ``text`` adds to the open piece. Of blanks the last one belongs to what follows, if anything does."""
+        end = _RUNS[self.run].match(text).end()
+        closed = last or end < len(text)
+        if self.run == _SPACES and not (last and end == len(text)):
+            end -= end > 0
+        self.held += text[:end].encode("utf-8", "surrogatepass")
+        self.tail = text[end:]
+        ids, done = self.machine.stable(self.held)
+        self.held = self.held[done:]
+        if closed:
+            ids += np.array(self.machine.whole(self.held), "<u4").tobytes()
+            self.run, self.held = None, b""
+        return [ids]
+
+
 @cache
 def transducer(path: str) -> Transducer:
     return Transducer(path)
@@ -306,9 +342,11 @@ def bpe_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
-def bpe_encode(docs: DataFrame, path: str | None = None, rows: int = 256) -> DataFrame:
-    """``doc_id``, ``n_tokens`` and the ids as ``array<int>``; ``rows`` go out at a time."""
+def bpe_encode(docs: DataFrame, path: str | None = None, rows: int = 256, decoded: bool = False) -> DataFrame:
+    """``doc_id``, ``n_tokens`` and the ids as ``array<int>``; ``rows`` go out at a time. ``decoded`` adds
+    ``decoded_sha256``, the digest of the text that the ids decode to."""
     ship(docs.sparkSession)
+    names = ["doc_id", "n_tokens", "ids", *["decoded_sha256"] * decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _vocabulary_here(path)
@@ -318,9 +356,10 @@ def bpe_encode(docs: DataFrame, path: str | None = None, rows: int = 256) -> Dat
                 ids = [np.frombuffer(b"".join(x), "<i4") for x in t.encode_many(part.column(1).to_pylist())]
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 arrays = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([len(x) for x in ids], pa.int64()), arrays], names=["doc_id", "n_tokens", "ids"])
+                more = [pa.array([t.digest([x.tobytes()])[2] for x in ids], pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([len(x) for x in ids], pa.int64()), arrays, *more], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>" + ", decoded_sha256 string" * decoded)
 
 
 def bpe_decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
