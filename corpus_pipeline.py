@@ -1,7 +1,12 @@
-"""The corpus pipeline: quality, line dedup, near duplicates, decontamination, BPE ids.
+"""The corpus pipeline: quality, line dedup, near duplicates, decontamination, BPE ids and back.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each stage's rows to
-the shared folder and reads them again for the next.
+the shared folder and reads them again for the next. All but the last give the columns of the documents.
+
+Defined cases: a document that the quality stage keeps and that has no words (a null text, too) stays
+to the end, with no ids; a null ``doc_id`` is neither a copy nor contaminated and stays; rows that share
+an id are judged together by the stages that go by id, which keep or drop all of them; an empty table
+gives an empty table; further columns are carried along up to the last stage.
 """
 
 from __future__ import annotations
@@ -21,16 +26,17 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier doesn't reject."""
+    """Documents that the co-trained classifier doesn't reject; null texts and metadata are scored, too."""
     return scored(docs, table(spark, sf_dir, "labels")).where("__quality.kept").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated three-line windows; ``n_chars`` follows. A text that is all repeats
-    leaves an empty text."""
+    """Texts without repeated three-line windows; ``n_chars`` follows. A document that this leaves without
+    a word is a copy of earlier lines and goes; null and wordless texts that lose nothing stay."""
     out = dedup_lines(docs)
+    left = out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     size = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.select(*[size.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    return left.select(*[size.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +54,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id``, ``n_tokens`` and ``ids``."""
-    return bpe_encode(docs)
+    """``doc_id``, ``n_tokens``, ``ids``, and ``decoded_sha256`` of the text that the ids decode to."""
+    return bpe_encode(docs, decoded=True)
 
 
 STAGES = [
