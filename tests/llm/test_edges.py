@@ -2,6 +2,7 @@
 
 import hashlib
 import hashlib
+import io
 import random
 import re
 
@@ -11,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import benchmarks, bpe, licenses, lines, quality, rules, suffixes, toxicity
+from tidemark.llm import benchmarks, bpe, licenses, lines, quality, rules, suffixes, toxicity, warc
 
 TYPE = "doc_id long, text string"
 CLASH = ["__l", "__gone", "__starts", "__d", "__t", "__bucket", "__bits", "__bit", "c0", "maybe", "starts", "d", "t", "l", "gone", "h1", "spans", "__key", "component"]
@@ -301,3 +302,28 @@ def test_bpe_digests_against_the_library(spark):
     got = bpe.bpe_encode(d, decoded=True).collect()
     assert sorted(((x.doc_id, x.n_tokens, hashlib.sha256(np.array(x.ids, "<u4").tobytes()).hexdigest(), x.decoded_sha256) for x in got), key=str) == sorted(want, key=str)
     assert bpe.bpe_digests(d.limit(0)).count() == bpe.bpe_encode(d.limit(0), decoded=True).count() == 0
+
+
+def test_warc_members_over_many_ranges_and_look_alikes(spark, tmp_path):
+    r = random.Random(9)
+    big = "".join(r.choice("0123456789abcdef") for _ in range(3_000_000))  # does not compress below a range
+    inner = warc.member("response", 77, "http://inner", b"x" * 50, hashlib.sha1(b"x" * 50).hexdigest(), None).decode("latin-1")
+    rows = [(1, "http://a", big), (2, None, big), (3, "u", "y" * (17 << 20)), (4, "u", inner), (5, "u", "WARC/1.1\r\n\r\n"), (6, "u\r\nX: y", "small"), (6, "u", "small"), (7, "u", None)]
+    p = clashing(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    path = f"file://{tmp_path}/w"
+    warc.write_warc(p, path)
+    want = sorted((i, len((h or "").encode()), hashlib.sha1((h or "").encode()).hexdigest(), "revisit" if i == 1 else "response", 2 if i == 1 else None) for i, _, h in rows)
+    for split in (32 << 20, 200_000, 4_999):
+        got = warc.read_warc(spark, path, split, payloads=split == 200_000).collect()
+        assert sorted((tuple(x)[:5] for x in got), key=lambda x: x[:2]) == want
+        if split == 200_000:
+            assert {x.page_id: x.payload for x in got if x.page_id != 1} == {i: (h or "").encode() for i, _, h in rows if i != 1}
+    assert warc.round_trip(p.limit(0)).count() == 0
+    # a gzip member that looks like a record at first, and one that isn't whole, are passed over
+    fakes = warc._gzip(b"WARC/1.1 but no header at all\r\n\r\nrest") + warc._gzip(b"WARC/1.1\r\nWARC-Type: response\r\n\r\n") + b"\x1f\x8b\x08 broken" + warc._gzip(b"WARC/" + b"9" * 100_000)
+    one = warc.member("response", 5, None, b"real", hashlib.sha1(b"real").hexdigest(), None)
+    f = io.BytesIO(fakes + one + warc.MAGIC)
+    assert [(at, b"".join(block)[-4:]) for at, _, block in warc.records(f, 0, 1 << 20)] == [(len(fakes), b"real")]
+    f = io.BytesIO(one[:-20])
+    with pytest.raises(Exception, match="ends within"):
+        [b"".join(block) for _, _, block in warc.records(f, 0, 1 << 20)]

@@ -1,9 +1,11 @@
 """WARC archives: a writer of one gzip member per record, and a splittable reader.
 
 The reader cuts archives into byte ranges, a task each. In its range a task looks for gzip magic,
-validates a candidate by inflating the member's start and reading a WARC header there, and owns the
-records that start inside; the last one may run on beyond the range. After a record the scan goes on
-behind its end, so magic inside a record's data is not looked at.
+validates a candidate by inflating the member's start and decoding a whole WARC header there (version
+line, named fields, type, record id and length), and owns the records that start inside; the last one may
+run on beyond the range. After a record the scan goes on behind its end, so magic inside a record's data
+is not looked at. A record's data come in parts: its digest is checked as they pass, and they are held
+only where payloads are asked for.
 
 The writer computes each record with Spark and writes members through the text sink with a zero
 byte as line separator, which is the last byte of every member (the top byte of its length, of
@@ -12,7 +14,8 @@ Spark's own protocol, to any file system, and a retried task leaves no second co
 
 Defined cases: a null payload is empty; of rows with one payload and one page id, all that have the
 largest id are responses; a null page id is smaller than any other and is read back as null; other
-null columns give no header; an empty table gives an empty archive and no rows.
+null columns give no header; repeated rows are records each; further columns are not read; a payload of
+any length is one record, which may run over many ranges; an empty table gives an empty archive and no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +37,9 @@ MAGIC = b"\x1f\x8b\x08"
 REVISIT_FROM = 1000
 SPLIT_BYTES = 32 << 20
 READ_BYTES = 1 << 20
-HEADER_BYTES = 1 << 16
+#: Longest header of a record that is valid; compressed bytes that are inflated at a time.
+HEADER_BYTES, PIECE = 1 << 16, 1 << 16
+VERSION = b"WARC/"
 DATE = "2024-01-01T00:00:00Z"
 
 SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -93,72 +99,125 @@ def write_warc(pages: DataFrame, path: str) -> None:
 
 
 class Range:
-    """Bytes of a file from ``start`` on, read in blocks as they are asked for."""
+    """Bytes of a file from ``start`` on, read in blocks as they are asked for; ``pos`` is where in
+    ``held``, which starts at ``at``, the scan is."""
 
     def __init__(self, file, start: int):
-        self.file, self.at, self.held = file, start, b""
+        self.file, self.at, self.held, self.pos = file, start, b"", 0
         file.seek(start)
 
+    @property
+    def place(self) -> int:
+        return self.at + self.pos
+
     def more(self) -> bool:
+        """Reads a block behind what is left from ``pos`` on."""
         got = self.file.read(READ_BYTES)
-        self.held += got
+        self.at, self.held, self.pos = self.at + self.pos, self.held[self.pos :] + got, 0
         return bool(got)
 
-    def drop(self, n: int) -> None:
-        self.held, self.at = self.held[n:], self.at + n
-
 
-def _record(window: Range) -> tuple[bytes, int] | None:
-    """The inflated member at the window's start and its length, or None if no WARC record is there."""
-    z, out, at = zlib.decompressobj(31), [], 0
-    seen = 0
+class Member:
+    """The gzip member at the place of a window, inflated in parts of bounded size. The window keeps the
+    member's bytes until it is ``committed``, so that a scan can go back behind a false start."""
+
+    def __init__(self, window: Range):
+        self.window, self.start, self.read, self.committed = window, window.place, window.place, False
+        self.z = zlib.decompressobj(31)
+
+    def parts(self) -> Iterator[bytes]:
+        """Inflated bytes; an error of zlib if they are none or the file ends."""
+        w = self.window
+        while not self.z.eof:
+            data = self.z.unconsumed_tail
+            ended = False
+            if not data:
+                if self.committed:
+                    w.pos = self.read - w.at
+                ended = self.read - w.at >= len(w.held) and not w.more()
+                data = w.held[self.read - w.at : self.read - w.at + PIECE]
+                self.read += len(data)
+            part = self.z.decompress(data, READ_BYTES)
+            if part:
+                yield part
+            elif not data and ended:
+                raise zlib.error("the file ends within a member")
+
+    @property
+    def end(self) -> int:
+        return self.read - len(self.z.unused_data)
+
+
+def header(member: Member, parts: Iterator[bytes]) -> tuple[dict[str, str], bytes] | None:
+    """Fields of the WARC header at the member's start and what follows of it, or None if there is none."""
+    raw = b""
     try:
-        while not z.eof:
-            if at >= len(window.held) and not window.more():
+        while (end := raw.find(b"\r\n\r\n")) < 0:
+            if len(raw) > HEADER_BYTES or raw[: len(VERSION)] != VERSION[: len(raw)]:
                 return None
-            part = z.decompress(window.held[at:])
-            at = len(window.held)
-            out.append(part)
-            if seen < 7:
-                head = b"".join(out)[:7]
-                seen = len(head)
-                if head != b"WARC/1."[:seen]:
-                    return None
+            part = next(parts, None)
+            if part is None:
+                return None
+            raw += part
     except zlib.error:
         return None
-    return (b"".join(out), at - len(z.unused_data)) if seen == 7 else None
+    version, *lines = raw[:end].decode("utf-8", "replace").split("\r\n")
+    if not re.fullmatch(r"WARC/\d+\.\d+", version) or not all(re.match(r"[!-9;-~]+:|[ \t]", x) for x in lines):
+        return None
+    fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+    if not {"warc-type", "warc-record-id", "content-length"} <= fields.keys() or not fields["content-length"].isdigit():
+        return None
+    return fields, raw[end + 4 :]
 
 
-def records(file, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """Offset and bytes of the records that start in ``[start, end)``."""
+def records(file, start: int, end: int) -> Iterator[tuple[int, dict[str, str], Iterator[bytes]]]:
+    """Place, header fields and block, in parts, of the records that start in ``[start, end)``."""
     window = Range(file, start)
-    while window.at < end:
-        found = window.held.find(MAGIC)
+    while window.place < end:
+        found = window.held.find(MAGIC, window.pos)
         if found < 0:
-            window.drop(max(0, len(window.held) - 2))
+            window.pos = max(window.pos, len(window.held) - 2)
             if not window.more():
                 return
             continue
-        window.drop(found)
-        if window.at >= end:
+        window.pos = found
+        if window.place >= end:
             return
-        got = _record(window)
+        member = Member(window)
+        parts = member.parts()
+        got = header(member, parts)
         if got is None:
-            window.drop(1)
+            window.pos = member.start + 1 - window.at
             continue
-        yield window.at, got[0]
-        window.drop(got[1])
-
-
-def parsed(raw: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers by lower-case name, and the block that ``Content-Length`` gives."""
-    head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
-    fields = {k.lower(): v for k, v in fields.items()}
-    size = int(fields["content-length"])
-    if len(rest) < size:
-        raise ValueError(f"a record of {size} bytes has {len(rest)}")
-    return fields, rest[:size]
+        member.committed = True
+        block = _block(int(got[0]["content-length"]), got[1], parts)
+        yield member.start, got[0], block
+        for _ in block:  # what the caller has left
+            pass
+        window.pos = member.end - window.at
+
+
+def _block(size: int, first: bytes, parts: Iterator[bytes]) -> Iterator[bytes]:
+    """The ``size`` bytes behind the header; the rest of the member is read and dropped."""
+    left = size
+    part: bytes | None = first
+    while part is not None:
+        if left and part:
+            yield part[:left]
+            left -= min(left, len(part))
+        part = next(parts, None)
+    if left:
+        raise ValueError(f"a record of {size} bytes lacks {left}")
+
+
+def http_payload(block: Iterator[bytes]) -> tuple[bytes, Iterator[bytes]]:
+    """The HTTP header of a block, and the payload behind it in parts."""
+    raw = b""
+    for part in block:
+        raw += part
+        if (end := raw.find(b"\r\n\r\n")) >= 0:
+            return raw[:end], chain([raw[end + 4 :]], block)
+    return raw, iter(())
 
 
 def _page(urn: str) -> int | None:
@@ -166,15 +225,17 @@ def _page(urn: str) -> int | None:
     return None if name == "null" else int(name)
 
 
-def read_warc(spark: SparkSession, path: str, split: int = SPLIT_BYTES) -> DataFrame:
-    """A row for each record under ``path``: see ``SCHEMA``, with ``payload`` (null for revisits)."""
+def read_warc(spark: SparkSession, path: str, split: int = SPLIT_BYTES, payloads: bool = True) -> DataFrame:
+    """A row for each record under ``path``: see ``SCHEMA``, with ``payload`` (null for revisits) unless
+    ``payloads`` is false; then no payload is held."""
     ship(spark)
     from pyspark.errors import AnalysisException
 
+    schema = SCHEMA + ", payload binary" * payloads
     try:
         files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
     except AnalysisException:  # no file at all
-        return spark.createDataFrame([], SCHEMA + ", payload binary")
+        return spark.createDataFrame([], schema)
     ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split).cast("long"))).alias("at"))
     ranges = ranges.repartition(max(1, 2 * spark.sparkContext.defaultParallelism), "path", "at")
 
@@ -187,33 +248,38 @@ def read_warc(spark: SparkSession, path: str, split: int = SPLIT_BYTES) -> DataF
                 rows: list[tuple] = []
                 size = 0
                 with store.open_input_file(name) as f:
-                    for _, raw in records(f, r["at"], min(r["at"] + split, r["length"])):
-                        fields, block = parsed(raw)
-                        http, _, body = block.partition(b"\r\n\r\n")
-                        digest = fields["warc-payload-digest"].removeprefix("sha1:")
-                        kind = fields["warc-type"]
-                        if kind == "response":
-                            if hashlib.sha1(body).hexdigest() != digest:
-                                raise ValueError(f"damaged payload of {fields['warc-record-id']}")
-                            n, to = len(body), None
-                        else:
+                    for _, fields, block in records(f, r["at"], min(r["at"] + split, r["length"])):
+                        kind, digest = fields["warc-type"], fields.get("warc-payload-digest", "").removeprefix("sha1:")
+                        if kind not in ("response", "revisit"):
+                            continue
+                        http, body = http_payload(block)
+                        held, sha, n, to = [], hashlib.sha1(), 0, None
+                        for part in body:
+                            sha.update(part)
+                            n += len(part)
+                            if payloads:
+                                held.append(part)
+                        if kind == "revisit":
                             n, to = int(re.search(rb"Content-Length: (\d+)", http)[1]), _page(fields["warc-refers-to"])
-                        rows.append((_page(fields["warc-record-id"]), n, digest, kind, to, body if kind == "response" else None))
-                        size += len(body)
+                        elif sha.hexdigest() != digest:
+                            raise ValueError(f"damaged payload of {fields['warc-record-id']}")
+                        own = [b"".join(held) if kind == "response" else None] if payloads else []
+                        rows.append((_page(fields["warc-record-id"]), n, digest, kind, to, *own))
+                        size += 100 + n * payloads
                         if size > 4 << 20:
                             yield _batch(rows)
                             rows, size = [], 0
                 if rows:
                     yield _batch(rows)
 
-    return ranges.mapInArrow(run, SCHEMA + ", payload binary")
+    return ranges.mapInArrow(run, schema)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())[: len(rows[0])]
     return pa.RecordBatch.from_arrays(
         [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
-        names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"],
+        names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"][: len(rows[0])],
     )
 
 
@@ -221,7 +287,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Write ``pages`` to archives in the shared folder and read their records back."""
     path = new_path(pages.sparkSession, "warc")
     write_warc(pages, path)
-    return read_warc(pages.sparkSession, path).drop("payload")
+    return read_warc(pages.sparkSession, path, payloads=False)
 
 
 ORACLE_SQL = r"""
