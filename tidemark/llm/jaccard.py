@@ -9,8 +9,10 @@ come last in the order of shingles, which keeps lists of shared passages from be
 order, like the boundary, changes the work and never the result.
 
 Of a list not all pairs are formed: first each member meets the smallest one; what these exact
-checks link falls into components; then only members of different components of a list meet, or all
-members if links are counted. Whole
+checks link falls into components; then only members of different components of a list meet. Links
+are counted afterwards, component by component: its different sets are dealt to blocks by hash, each
+pair of blocks is compared in one task of bounded size, and only the counts leave it, so pairs of
+copies are never rows. Whole
 sets are sent only for pairs whose signatures allow a link: an element that one set alone has turns
 one bit of the signature, so sets whose signatures differ in too many bits can't link.
 
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, looked_up, ship, stored, tidy
+from tidemark.llm.common import discard, looked_up, maybe_in, ship, stored, tidy
 from tidemark.llm.components import components
 from tidemark.llm.packed import counted, repeated, seen
 from tidemark.llm.shingles import mix, texts_sets
@@ -165,16 +167,81 @@ def _postings(docs: DataFrame, k: int, limit: Threshold, small: int, frequent) -
     return docs.mapInArrow(run, "doc long, n long, keys array<long>").where(F.size("keys") > 0)
 
 
-def _full(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """``doc, s`` with the whole set, for the documents in ``pairs``."""
+def _sets(texts: DataFrame, k: int) -> DataFrame:
+    """``doc, s`` with the whole set of each row of ``doc_id, text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
             sets = [*texts_sets((x.as_py() for x in b.column(1)), k)]
             yield pa.RecordBatch.from_arrays([b.column(0), _lists(sets)], names=["doc", "s"])
 
+    return texts.mapInArrow(run, "doc long, s array<long>")
+
+
+def _full(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """``doc, s`` with the whole set, for the documents in ``pairs``; no other text is shuffled."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    return docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc long, s array<long>")
+    texts = maybe_in(docs, F.col("doc_id"), ids, F.col("doc_id")).where("maybe").select("doc_id", "text")
+    return _sets(texts.join(ids, "doc_id", "left_semi"), k)
+
+
+#: Sets, and elements of sets, for each block of a component's members.
+BLOCK_SETS, BLOCK_ELEMENTS = 512, 1 << 18
+
+
+def links_between(x: list[np.ndarray], y: list[np.ndarray], limit: Threshold) -> np.ndarray:
+    """Which sets of ``x`` link to which of ``y``, by the sizes of their intersections."""
+    sets = [*x, *y]
+    sizes = np.array([len(s) for s in sets], np.int64)
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared = np.zeros((len(x), len(y)), np.float32)
+    for at in range(0, len(values), 4096):  # a slice of the shingles at a time
+        a, b = np.searchsorted(column, [at, at + 4096])
+        has = np.zeros((len(sets), min(4096, len(values) - at)), np.float32)
+        has[row[a:b], column[a:b] - at] = 1
+        shared += has[: len(x)] @ has[len(x) :].T
+    return np.rint(shared).astype(np.int64) * (limit.num + limit.den) >= limit.num * (sizes[: len(x), None] + sizes[len(x) :])
+
+
+def _linked(docs: DataFrame, group: DataFrame, weight: DataFrame, sizes: DataFrame, k: int, limit: Threshold) -> DataFrame:
+    """``node, met``: documents of other sets that the sets of each node of ``group`` link to."""
+    weighed = stored(group.join(weight, "node").join(sizes, "node"), "members")
+    whole = weighed.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("e"), F.sum("w").alias("all"))
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("e") / BLOCK_ELEMENTS)).cast("int")
+    members = looked_up(weighed, whole, "component").withColumn("blocks", blocks)
+    two = members.where("m = 2").select("node", (F.col("all") - F.col("w")).alias("met"))
+    many = members.where("m > 2").select("node", "component", "w", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    many = stored(many, "many")
+    texts = maybe_in(docs, F.col("doc_id"), many, F.col("node")).where("maybe").select("doc_id", "text")
+    sets = _sets(texts.join(many.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), k)
+    sent = sets.join(many, sets.doc == many.node).select("node", "component", "w", "s", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    sent = sent.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
+
+    def count(group: pa.Table) -> pa.Table:
+        x, y = group["x"][0].as_py(), group["y"][0].as_py()
+        node, w, block = (group[c].to_numpy() for c in ("node", "w", "block"))
+        rows = [np.asarray(v.values, np.int64).view(np.uint64) if len(v) else np.zeros(0, np.uint64) for v in group["s"].combine_chunks()]
+        sides = [np.flatnonzero(block == b) for b in (x, y)]
+        if not len(sides[0]) or not len(sides[1]):
+            return pa.table({"node": pa.array([], pa.int64()), "met": pa.array([], pa.int64())})
+        link = links_between(*[[rows[i] for i in side] for side in sides], limit)
+        own, at = zip(*[np.unique(node[side], return_inverse=True) for side in sides], strict=True)
+        # several texts of one id are one node
+        met = np.zeros((len(own[0]), len(own[1])), bool)
+        i, j = np.nonzero(link)
+        met[at[0][i], at[1][j]] = True
+        met &= own[0][:, None] != own[1]
+        weigh = [dict(zip(node[s].tolist(), w[s].tolist(), strict=True)) for s in sides]
+        out = [(own[0], met @ np.array([weigh[1][n] for n in own[1].tolist()], np.int64))]
+        if x != y:
+            out.append((own[1], met.T @ np.array([weigh[0][n] for n in own[0].tolist()], np.int64)))
+        return pa.table({"node": np.concatenate([n for n, _ in out]), "met": np.concatenate([c for _, c in out]).astype(np.int64)})
+
+    counts = sent.groupBy("component", "x", "y").applyInArrow(count, "node long, met long")
+    return two.unionByName(counts.groupBy("node").agg(F.sum("met").alias("met")))
 
 
 def _near(limit: Threshold) -> str:
@@ -200,8 +267,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
     """``doc_id, n_shingles, component_id`` for each row of ``docs``: documents whose sets of
     ``words``-word shingles have a Jaccard similarity of ``num / den`` or more are linked, and the
     component is the smallest ``doc_id`` reachable over links. ``n_links`` adds the number of other
-    documents that the row's document links to; every candidate pair is then verified, inside
-    components too. A ``doc_id`` with several texts is one node there, and counts by each of them."""
+    documents that the row's document links to. A ``doc_id`` with several texts is one node there, and counts by each of them."""
     spark = docs.sparkSession
     ship(spark)
     limit = Threshold(num, den)
@@ -234,12 +300,12 @@ def jaccard_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
 
     placed = lists.select("token", "doc", "n").join(group.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     placed = stored(placed, "placed")
-    mixed = placed.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("true" if n_links else "least < most").select("token")
+    mixed = placed.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("token")
     mixed = stored(looked_up(placed, mixed, "token"), "mixed")
     discard(placed)
     signed = mixed.drop("n").join(signs, "doc")
     x, y = (signed.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("doc", "n", "component", *BITS)]) for side in "xy")
-    near = F.expr(("x_doc < y_doc and " if n_links else "x_component < y_component and ") + _near(limit))
+    near = F.expr("x_component < y_component and " + _near(limit))
     across = x.join(y, (x.token == y.token) & near).select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).distinct()
     across = stored(across.join(stars, ["a", "b"], "left_anti"), "across")
     more = _verified(known, across, words, limit)
@@ -251,12 +317,11 @@ def jaccard_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
 
     groups = classes.select("k1", "k2", "rep", "docs").join(group.select(F.col("node").alias("rep"), "component"), "rep", "left").select("k1", "k2", "rep", "docs", F.coalesce("component", "rep").alias("component"))
     if n_links:
-        edges = links.unionByName(more).distinct()
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        weight = classes.groupBy("rep").agg(F.sum("docs").alias("docs"))
-        met = both.join(weight, both.b == weight.rep).groupBy("a").agg(F.sum("docs").alias("met"))
-        groups = groups.join(met, groups.rep == met.a, "left").withColumn("n_links", F.col("docs") - 1 + F.coalesce("met", F.lit(0)))
-    groups = groups.drop("rep", "docs", "a", "met")
+        weight = classes.groupBy("rep").agg(F.sum("docs").alias("w")).withColumnRenamed("rep", "node")
+        elements = classes.groupBy("rep").agg(F.sum("n").alias("n")).withColumnRenamed("rep", "node")
+        met = _linked(known, group, weight, elements, words, limit)
+        groups = groups.join(met, groups.rep == met.node, "left").withColumn("n_links", F.col("docs") - 1 + F.coalesce("met", F.lit(0)))
+    groups = groups.drop("rep", "docs", "node", "met")
     own = looked_up(sizes, groups, ["k1", "k2"], "left")
     count = [F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links")] if n_links else []
     return own.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))).alias("component_id"), *count)
