@@ -89,7 +89,9 @@ def test_features_by_hand(spark):
     t = trades(spark, [100, 101, 102]).withColumn("size_ticks", F.col("sequence") * K.SCALE)
     spec = [X.resolve_feature(n) for n in ("order_flow_imbalance", "mid_price", "trade_count")]
     r = X.feature_matrix(t, t, spec, T0 + 60 * K.SCALE, T0 + 60 * K.SCALE, K.SCALE).first()
-    assert (round(r.order_flow_imbalance, 9), r.mid_price, r.trade_count) == (round(5 / 6, 9), None, 0.0) or r.trade_count == 3.0
+    assert (round(r.order_flow_imbalance, 9), r.mid_price, r.trade_count) == (round(5 / 6, 9), 102.0, 3.0)
+    empty = X.feature_matrix(t, t, spec, T0 + 90 * K.SCALE, T0 + 90 * K.SCALE, K.SCALE).first()
+    assert (empty.order_flow_imbalance, empty.mid_price, empty.trade_count) == (None, None, 0.0)
     with pytest.raises(KeyError):
         X.resolve_feature("none")
 
@@ -104,8 +106,14 @@ def test_replay_slippage_and_latency(spark):
 def test_mean_reversion(spark):
     t = trades(spark, [100] * 5 + [96] * 5 + [100] * 5)
     view = PointInTimeView(t, T0 + K.DAY_NS)
-    f = Backtest(view, RollingZScoreMeanReversion("A", window=5, entry_z=0.5), BacktestConfig(latency_ns=500)).fills().orderBy("fill_no").collect()
+    f = Backtest(view, RollingZScoreMeanReversion("A", window=5, entry_z=0.5)).fills().orderBy("fill_no").collect()
     assert [x.side for x in f] == ["buy", "sell"]
+    # with a latency the strategy signals again until the first fill arrives
+    late = Backtest(view, RollingZScoreMeanReversion("A", window=5, entry_z=0.5), BacktestConfig(latency_ns=500)).fills().orderBy("fill_no").collect()
+    assert [x.side for x in late][:2] == ["buy", "buy"] and [x.order_id for x in late] == sorted(x.order_id for x in late)
+    for wrong in ({"window": 1}, {"entry_z": 0.0}, {"order_size": 0}):
+        with pytest.raises(ValueError):
+            RollingZScoreMeanReversion("A", **wrong)
     with pytest.raises(TypeError):
         Backtest(view, 3)
 

@@ -65,9 +65,11 @@ def test_ingest_and_restart(spark, tmp_path):
 
     put(folder, "1.ndjson", [line(*m) for m in MESSAGES[:4]], 1)
     put(folder, "2.ndjson", [line(*m) for m in MESSAGES[4:]] + [line(60, 7, "t-7")], 2)
-    first = run().counters
+    done = run()
+    first = done.counters
+    assert (done.latency_p50_ns, done.latency_p99_ns, done.symbols) == (100.0, 100.0, ["A"]) and done.started_at_ns < done.finished_at_ns
     assert in_order(store) == ["t-1", "t-2", "t-3", "t-4", "t-5", "t-5-dup", "t-6"]
-    assert first == {"written": 7, "gaps": 1, "out_of_order": 2, "reordered": 2}
+    assert first == {"written": 7, "gaps": 1, "out_of_order": 2, "reordered": 2, "received": 8}
     # a restart goes on with the row that was held and reads no file again
     put(folder, "3.ndjson", [line(61, 8, "t-8"), flush(), line(0, 1, "b", "B/C"), flush("B/C")], 3)
     assert run().counters["written"] == 3

@@ -44,6 +44,18 @@ def ns_to_date(c: Column) -> Column:
     return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(c / F.lit(DAY_NS)).cast("int")).cast("string")
 
 
+def ns_to_iso(c: Column) -> Column:
+    """UTC as yyyy-MM-ddTHH:mm:ssZ, cut to the second, whatever the session's time zone."""
+    second = F.pmod(F.floor(c / F.lit(SCALE)), F.lit(86_400))
+    parts = (second / 3600, F.pmod(second, F.lit(3600)) / 60, F.pmod(second, F.lit(60)))
+    clock = F.concat_ws(":", *[F.lpad(F.floor(x).cast("string"), 2, "0") for x in parts])
+    return F.concat(ns_to_date(c), F.lit("T"), clock, F.lit("Z"))
+
+
+def add_ns(a: Column, b: Column) -> Column:
+    return a + b
+
+
 def date_to_ns(c: Column) -> Column:
     return F.unix_date(F.to_date(c)).cast("long") * F.lit(DAY_NS)
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from tidemark.functions.prefix import HOUR, numbered, running
 from tidemark.functions.ticks import YEAR_NS, scaled_product
 
 MARK_ORDER = ["ts", "sequence", "trade_id"]
@@ -22,21 +22,20 @@ def equity_curve(ticks: DataFrame, fills: DataFrame, capital: int) -> DataFrame:
     )
     zero = F.lit(0).cast("long")
     marks = ticks.where("kind = 'trade'").select("symbol", F.col("exchange_ts_ns").alias("ts"), zero.alias("dq"), zero.alias("dc"), F.col("price_ticks").alias("price"), "sequence", "trade_id")
-    # all fills up to a mark's time: a range frame on the time, over both kinds of rows
-    w = Window.partitionBy("symbol").orderBy("ts").rangeBetween(Window.unboundedPreceding, 0)
-    run = flows.unionByName(marks).withColumn("q", F.sum("dq").over(w)).withColumn("c", F.sum("dc").over(w))
-    order = Window.partitionBy("symbol").orderBy(*MARK_ORDER)
-    return run.where("price is not null").select("symbol", "ts", F.row_number().over(order).alias("n"), "q", "c", "price", (F.lit(capital) + F.col("c") + scaled_product(F.col("q"), F.col("price"))).alias("equity"))
+    # all fills up to a mark's time, in chunks of an hour
+    run = running(flows.unionByName(marks), ["symbol"], ["ts"], {"q": ("sum", F.col("dq")), "c": ("sum", F.col("dc"))}, HOUR, peers=True)
+    return numbered(run.where("price is not null"), MARK_ORDER, HOUR, ["symbol"]).select("symbol", "ts", "n", "q", "c", "price", (F.lit(capital) + F.col("c") + scaled_product(F.col("q"), F.col("price"))).alias("equity"))
 
 
 def global_curve(ticks: DataFrame, fills: DataFrame, capital: int) -> DataFrame:
     """``ts, n, equity`` over all symbols: at each mark every symbol's last observed part counts. A
     symbol's change from mark to mark is what the running total needs, so no pivot."""
     own = equity_curve(ticks, fills, 0)
-    before = Window.partitionBy("symbol").orderBy("n")
-    change = own.withColumn("d", F.col("equity") - F.coalesce(F.lag("equity").over(before), F.lit(0)))
-    w = Window.orderBy("ts", "symbol", "n")
-    return change.select("ts", F.row_number().over(w).alias("n"), (F.lit(capital) + F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("equity"))
+    order = ["ts", "symbol", "n"]
+    change = running(own, ["symbol"], ["ts", "n"], {"before": ("last", F.col("equity"))}, HOUR, current=False)
+    change = change.withColumn("d", F.col("equity") - F.coalesce("before", F.lit(0)))
+    all_ = running(change, [], order, {"place": ("sum", F.lit(1).cast("long")), "total": ("sum", F.col("d"))}, HOUR)
+    return all_.select("ts", F.col("place").alias("n"), (F.lit(capital) + F.col("total")).alias("equity"))
 
 
 def drawdown(equity: Column, peak: Column) -> Column:
@@ -45,10 +44,11 @@ def drawdown(equity: Column, peak: Column) -> Column:
 
 def curve_metrics(curve: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """total_return, sharpe and max_drawdown of ``ts, n, equity``, for each group of ``by``."""
-    w = Window.partitionBy(*by).orderBy("n")
     x = curve.withColumn("e", F.col("equity").cast("double"))
-    x = x.withColumn("before", F.lag("e").over(w)).withColumn("peak", F.max("e").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    x = x.withColumn("r", F.when(F.col("before") != 0, F.col("e") / F.col("before") - 1).otherwise(F.when(F.col("before").isNotNull(), 0.0))).withColumn("dd", drawdown(F.col("e"), F.col("peak")))
+    x = running(x, [*by], ["ts", "n"], {"before": ("last", F.col("e"))}, HOUR, current=False)
+    x = running(x, [*by], ["ts", "n"], {"peak": ("max", F.col("e"))}, HOUR)
+    # a return from an equity of zero is the change itself
+    x = x.withColumn("r", (F.col("e") - F.col("before")) / F.when(F.col("before") != 0, F.col("before")).otherwise(1.0)).withColumn("dd", drawdown(F.col("e"), F.col("peak")))
     a = x.groupBy(*by).agg(F.min_by("e", "n").alias("first"), F.max_by("e", "n").alias("last"), F.avg("r").alias("m"), F.stddev_samp("r").alias("s"), F.count("r").alias("k"), ((F.max("ts") - F.min("ts")) / F.lit(float(YEAR_NS))).alias("years"), F.max("dd").alias("mdd"))
     return a.select(
         *by,

@@ -1,12 +1,16 @@
-"""Replay of ticks through strategies with latency, partial fills and slippage, a task per symbol."""
+"""Replay of ticks through strategies with latency, partial fills and slippage: a task per symbol, or one
+stream of all symbols."""
 
 from __future__ import annotations
 
+import math
+import time
+from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidemark.functions.ticks import SCALE
 from tidemark.sources.store import PointInTimeView
@@ -15,6 +19,7 @@ FILL_SCHEMA = (
     "fill_no long, order_id long, symbol string, side string, size_ticks long, tick_price_ticks long, "
     "fill_price_ticks long, slippage_ticks long, trade_ts_ns long, trade_id string"
 )
+FILLS = [x.split()[0] for x in FILL_SCHEMA.split(", ")]
 #: Replay order: time, sequence, book before trade, then what keeps ties in one order.
 REPLAY_ORDER = ["exchange_ts_ns", "sequence", "kind"]
 
@@ -28,6 +33,8 @@ class BacktestConfig:
     slippage_fixed_ticks: int = 0
     slippage_per_share_ticks: int = 0
     initial_capital_ticks: int = 10**18
+    #: Event time against the clock's; 0 doesn't wait.
+    speed: float = 0.0
 
 
 class Strategy:
@@ -54,127 +61,170 @@ class Engine:
 
     def __init__(self, config: BacktestConfig, strategy: Strategy | None = None):
         self.config, self.strategy = config, strategy
-        self.now, self.orders, self.fills, self.next_id = config.start_ns, [], [], 1
+        self.now, self.waiting, self.fill_no, self.next_id = config.start_ns, {}, 0, 1
 
-    def submit(self, symbol: str, side: str, size_ticks: int, at_ns: int | None = None) -> int:
+    def submit(self, symbol: str, side: str, size_ticks: int, at_ns: int | None = None, order_id: int | None = None) -> int:
         if side not in ("buy", "sell") or size_ticks <= 0:
             raise ValueError(f"bad order: {side} {size_ticks}")
-        order = {"id": self.next_id, "symbol": symbol, "side": side, "left": size_ticks, "from": (self.now if at_ns is None else at_ns) + self.config.latency_ns}
-        self.orders.append(order)
-        self.next_id += 1
-        return order["id"]
-
-    def _match(self, tick) -> None:
-        rest, i = tick.size_ticks, 0
-        while i < len(self.orders) and rest > 0:
-            o = self.orders[i]
-            i += 1
-            if o["left"] <= 0 or o["symbol"] != tick.symbol or o["from"] > tick.exchange_ts_ns:
+        number = self.next_id if order_id is None else order_id
+        self.next_id = max(self.next_id, number) + 1
+        start = (self.now if at_ns is None else at_ns) + self.config.latency_ns
+        self.waiting.setdefault(symbol, deque()).append([number, side, size_ticks, start])
+        return number
+
+    def slip(self, size: int) -> int:
+        product = self.config.slippage_per_share_ticks * size
+        return self.config.slippage_fixed_ticks + (product // SCALE if product >= 0 else -(-product // SCALE))
+
+    def matched(self, tick) -> Iterator[dict]:
+        """Fills by one trade. The symbol's orders are gone through once, with those that callbacks add."""
+        book, kept, room = self.waiting.get(tick.symbol), [], tick.size_ticks
+        while book and room > 0:
+            order = book.popleft()
+            number, side, left, start = order
+            size = min(left, room) if start <= tick.exchange_ts_ns else 0
+            if size < left:
+                order[2] -= size
+                kept.append(order)
+            if not size:
                 continue
-            n = min(o["left"], rest)
-            o["left"] -= n
-            rest -= n
-            product = self.config.slippage_per_share_ticks * n
-            slip = self.config.slippage_fixed_ticks + (product // SCALE if product >= 0 else -(-product // SCALE))
-            fill = {
-                "fill_no": len(self.fills), "order_id": o["id"], "symbol": o["symbol"], "side": o["side"], "size_ticks": n,
-                "tick_price_ticks": tick.price_ticks, "fill_price_ticks": tick.price_ticks + (slip if o["side"] == "buy" else -slip),
-                "slippage_ticks": slip, "trade_ts_ns": tick.exchange_ts_ns, "trade_id": tick.trade_id,
-            }
-            self.fills.append(fill)
+            room -= size
+            slip = self.slip(size)
+            fill = dict(zip(FILLS, (self.fill_no, number, tick.symbol, side, size, tick.price_ticks, tick.price_ticks + (slip if side == "buy" else -slip), slip, tick.exchange_ts_ns, tick.trade_id), strict=True))
+            self.fill_no += 1
+            yield fill
             if self.strategy:
                 self.strategy.on_fill(fill)
-        self.orders = [o for o in self.orders if o["left"] > 0]
-
-    def run(self, ticks) -> list[dict]:
-        s = self.strategy
-        for t in ticks:
-            self.now = t.exchange_ts_ns
-            if t.kind == "trade":
-                if s:
-                    s.on_trade(t)
-                if self.orders:
-                    self._match(t)
-            elif s:
-                s.on_book_delta(t)
-        return self.fills
+        if kept:
+            book.extendleft(reversed(kept))
 
+    def on(self, tick) -> Iterator[dict]:
+        self.now = tick.exchange_ts_ns
+        if tick.kind != "trade":
+            if self.strategy:
+                self.strategy.on_book_delta(tick)
+            return
+        if self.strategy:
+            self.strategy.on_trade(tick)
+        if self.waiting.get(tick.symbol):
+            yield from self.matched(tick)
 
-def replay(ticks: DataFrame, strategy: Strategy | None, config: BacktestConfig = BacktestConfig(), orders: list[dict] | None = None, by_symbol: bool = True) -> DataFrame:
-    """Fills of ``strategy``, or of given ``orders`` (symbol, side, size_ticks, at_ns). Each symbol is
-    replayed on its own; with ``by_symbol=False`` all are one stream, for strategies across symbols."""
-    import copy
 
-    extra = [c for c in ("arrival", "event_id") if c in ticks.columns]
+def paced(ticks: Iterator, speed: float, sleep=time.sleep, clock=time.monotonic) -> Iterator:
+    """Ticks at ``speed`` times the pace of their event times; a speed of zero or less doesn't wait."""
+    began = first = None
+    for t in ticks:
+        if speed > 0:
+            if began is None:
+                began, first = clock(), t.exchange_ts_ns
+            wait = (t.exchange_ts_ns - first) / SCALE / speed - (clock() - began)
+            if wait > 0:
+                sleep(wait)
+        yield t
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([*REPLAY_ORDER, *extra, "trade_id"], kind="stable")
-        group["trade_id"] = group["trade_id"].astype(object).where(group["trade_id"].notna(), None)
-        own = copy.deepcopy(strategy)
-        e = Engine(config, own)
-        if own:
-            own._engine = e
-        here = set(group["symbol"].unique())
-        for o in orders or ():
-            if o["symbol"] in here:
-                e.submit(o["symbol"], o["side"], o["size_ticks"], o["at_ns"])
-        fills = e.run(group.itertuples(index=False))
-        return pd.DataFrame(fills, columns=[x.split()[0] for x in FILL_SCHEMA.split(", ")])
 
-    grouped = ticks.groupBy("symbol") if by_symbol else ticks.groupBy(F.lit(0))
-    return grouped.applyInPandas(run, FILL_SCHEMA)
+def replay(ticks: DataFrame, strategy: Strategy | None, config: BacktestConfig = BacktestConfig(), orders: list[dict] | None = None, by_symbol: bool = True) -> DataFrame:
+    """Fills of ``strategy``, or of given ``orders`` (symbol, side, size_ticks, at_ns), numbered in their
+    order. Each symbol is replayed on its own by a copy of the strategy, with fills numbered on their own;
+    with ``by_symbol=False`` all are one stream, for strategies across symbols. Ticks come to a task sorted
+    by Spark, batch by batch, so a long history isn't held; with a ``speed`` it is one stream, too."""
+    import copy
+
+    tie = [c for c in ("arrival", "event_id") if c in ticks.columns]
+    order = [*REPLAY_ORDER, *tie, "trade_id"]
+    given = [{**o, "order_id": i} for i, o in enumerate(orders or (), 1)]
+    alone = by_symbol and config.speed <= 0
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        engine, here = None, None
+        for b in batches:
+            b["trade_id"] = b["trade_id"].astype(object).where(b["trade_id"].notna(), None)
+            fills = []
+            for t in paced(b.itertuples(index=False), config.speed):
+                if engine is None or alone and t.symbol != here:
+                    here, own = t.symbol, copy.deepcopy(strategy)
+                    engine = Engine(config, own)
+                    if own:
+                        own._engine = engine
+                    for o in given:
+                        if not alone or o["symbol"] == here:
+                            engine.submit(o["symbol"], o["side"], o["size_ticks"], o["at_ns"], o["order_id"])
+                fills.extend(engine.on(t))
+            yield pd.DataFrame(fills, columns=FILLS)
+
+    needed = ticks.select(*dict.fromkeys(["symbol", *REPLAY_ORDER, "price_ticks", "size_ticks", "side", "trade_id", *tie]))
+    dealt = needed.repartition("symbol").sortWithinPartitions("symbol", *order) if alone else needed.repartition(1).sortWithinPartitions(*order)
+    return dealt.mapInPandas(run, FILL_SCHEMA)
 
 
 class RollingZScoreMeanReversion(Strategy):
-    """Buys when flat and the last price is ``entry_z`` deviations under the window's mean, sells all
-    when long and it is back at ``exit_z``. The position follows the fills. ``symbol`` None stands for
-    that of the first trade, so that a replay by symbol runs the strategy on each."""
+    """Holds one position at a time: buys ``order_size`` when flat and the last price is ``entry_z``
+    population deviations or more under the mean of the last ``window`` prices, and sells what it holds
+    when the price is back at ``exit_z`` or above. The position follows the fills, so with a latency
+    signals go on until one arrives. Sums of prices and of their squares are kept, in whole numbers.
+    ``symbol`` None stands for that of the first trade, so that a replay by symbol runs it on each."""
 
     def __init__(self, symbol: str | None = None, window: int = 20, entry_z: float = 1.0, exit_z: float = 0.0, order_size: int = SCALE):
+        if window < 2:
+            raise ValueError("the window needs two prices or more")
+        if entry_z <= 0 or order_size <= 0:
+            raise ValueError("entry_z and order_size must be positive")
         self.symbol, self.window, self.entry_z, self.exit_z, self.order_size = symbol, window, entry_z, exit_z, order_size
-        self.prices: list[int] = []
-        self.position, self.waiting = 0, False
+        self.prices: deque[int] = deque()
+        self.total = self.squares = self.position = 0
+
+    def zscore(self, price: int) -> float | None:
+        """That of ``price``, which joins the window; None while the window isn't full or has one price only."""
+        gone = self.prices.popleft() if len(self.prices) == self.window else 0
+        self.prices.append(price)
+        self.total += price - gone
+        self.squares += price * price - gone * gone
+        spread = self.window * self.squares - self.total * self.total
+        if len(self.prices) < self.window or not spread:
+            return None
+        return (self.window * price - self.total) / math.sqrt(spread)
 
     def on_trade(self, tick) -> None:
-        if self.symbol is None:
-            self.symbol = tick.symbol
+        self.symbol = self.symbol or tick.symbol
         if tick.symbol != self.symbol:
             return
-        self.prices = [*self.prices, tick.price_ticks][-self.window :]
-        if len(self.prices) < self.window or self.waiting:
+        z = self.zscore(tick.price_ticks)
+        if z is None:
             return
-        mean = sum(self.prices) / self.window
-        std = (sum((p - mean) ** 2 for p in self.prices) / self.window) ** 0.5
-        if std == 0:
-            return
-        z = (tick.price_ticks - mean) / std
-        if self.position == 0 and z <= -self.entry_z:
-            self.waiting = True
+        if self.position > 0:
+            if z >= self.exit_z:
+                self.submit_order(self.symbol, "sell", self.position)
+        elif self.position == 0 and z <= -self.entry_z:
             self.submit_order(self.symbol, "buy", self.order_size)
-        elif self.position > 0 and z >= self.exit_z:
-            self.waiting = True
-            self.submit_order(self.symbol, "sell", self.position)
 
     def on_fill(self, fill: dict) -> None:
-        self.position += fill["size_ticks"] if fill["side"] == "buy" else -fill["size_ticks"]
-        self.waiting = False
+        if fill["symbol"] == self.symbol:
+            self.position += fill["size_ticks"] * (1 if fill["side"] == "buy" else -1)
 
 
 class Backtest:
-    def __init__(self, view: PointInTimeView, strategy: Strategy | type[Strategy], config: BacktestConfig = BacktestConfig()):
+    """A strategy over a view. The ticks of all symbols are one stream, as strategies may act across them;
+    ``by_symbol`` runs a copy of the strategy on each symbol, in tasks of their own."""
+
+    def __init__(self, view: PointInTimeView, strategy: Strategy | type[Strategy], config: BacktestConfig = BacktestConfig(), by_symbol: bool = False):
         self.strategy = strategy() if isinstance(strategy, type) and issubclass(strategy, Strategy) else strategy
         if not isinstance(self.strategy, Strategy):
             raise TypeError("not a Strategy")
-        self.view, self.config = view, config
+        self.view, self.config, self.by_symbol = view, config, by_symbol
 
     def ticks(self) -> DataFrame:
         symbols = None if self.config.symbols is None else list(self.config.symbols)
         return self.view.scan(symbols, self.config.start_ns, self.config.end_ns)
 
     def fills(self) -> DataFrame:
-        return replay(self.ticks(), self.strategy, self.config)
+        return replay(self.ticks(), self.strategy, self.config, by_symbol=self.by_symbol)
 
     def run(self) -> dict[str, float]:
+        """The portfolio's metrics; the replay runs once."""
         from tidemark.operators.portfolio import portfolio_metrics
 
-        return portfolio_metrics(self.ticks(), self.fills(), self.config.initial_capital_ticks).first().asDict()
+        fills = self.fills().persist()
+        try:
+            return portfolio_metrics(self.ticks(), fills, self.config.initial_capital_ticks).first().asDict()
+        finally:
+            fills.unpersist()

@@ -12,20 +12,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions.prefix import ARRIVALS, HOUR, numbered, running
+
 DEFAULT_WINDOW_NS = 50_000_000
 _NEVER = (1 << 63) - 1
 
 
-def _before(arrival: list[str]):
-    return Window.partitionBy("symbol").orderBy(*arrival).rowsBetween(Window.unboundedPreceding, -1)
-
-
-def tracked(ticks: DataFrame, arrival: list[str]) -> DataFrame:
-    """Adds ``high_water`` (largest sequence before) and ``reordered`` (an earlier row is later)."""
-    w = _before(arrival)
-    return ticks.withColumn("high_water", F.max(F.when(F.col("sequence") != 0, F.col("sequence"))).over(w)).withColumn(
-        "reordered", F.coalesce(F.col("exchange_ts_ns") < F.max("exchange_ts_ns").over(w), F.lit(False))
-    )
+def tracked(ticks: DataFrame, arrival: list[str], width: int = ARRIVALS) -> DataFrame:
+    """Adds ``high_water`` (largest sequence before) and ``reordered`` (an earlier row is later). A symbol's
+    history is scanned in chunks of ``width`` arrivals, each with the maxima of those before it."""
+    values = {"high_water": ("max", F.when(F.col("sequence") != 0, F.col("sequence"))), "latest": ("max", F.col("exchange_ts_ns"))}
+    out = running(ticks, ["symbol"], arrival, values, width, current=False)
+    return out.withColumn("reordered", F.coalesce(F.col("exchange_ts_ns") < F.col("latest"), F.lit(False))).drop("latest")
 
 
 def sequence_events(ticks: DataFrame, arrival: list[str]) -> DataFrame:
@@ -52,15 +50,50 @@ def release_steps(times: np.ndarray, window_ns: int) -> np.ndarray:
     return out
 
 
-def reordered(ticks: DataFrame, arrival: list[str], window_ns: int = DEFAULT_WINDOW_NS) -> DataFrame:
-    """Adds ``release_step``: rows leave the buffer by (release_step, exchange_ts_ns, arrival)."""
-    schema = ticks.schema.simpleString()[7:-1] + ",release_step:bigint"
+def reordered(ticks: DataFrame, arrival: list[str], window_ns: int = DEFAULT_WINDOW_NS, width: int = ARRIVALS) -> DataFrame:
+    """Adds ``release_step``: rows leave the buffer by (release_step, exchange_ts_ns, arrival).
 
-    def steps(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(arrival, kind="stable")
-        return group.assign(release_step=release_steps(group["exchange_ts_ns"].to_numpy(), window_ns))
+    A symbol's history is cut into chunks of ``width`` arrivals. A chunk releases its own rows where it
+    can. Of the rows that it leaves held, each meets the first later chunk with a time late enough,
+    which is found on the table of chunks, and there the first such row, which is a record of the chunk:
+    a row later than all before it in the chunk."""
+    t = numbered(ticks, arrival, width, ["symbol"], "__i").withColumn("__i", F.col("__i") - 1)
+    t = t.withColumn("__chunk", F.floor(F.col(arrival[0]) / F.lit(width)))
+    own = ticks.columns
+    schema = t.schema.simpleString()[7:-1] + ",release_step:bigint"
 
-    return ticks.groupBy("symbol").applyInPandas(steps, schema)
+    def steps(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("__i", kind="stable")
+        at, i = release_steps(group["exchange_ts_ns"].to_numpy(), window_ns), group["__i"].to_numpy()
+        return group.assign(release_step=np.where(at == _NEVER, _NEVER, i[np.minimum(at, len(i) - 1)]))
+
+    done = t.groupBy("symbol", "__chunk").applyInPandas(steps, schema)
+    held = done.where(F.col("release_step") == _NEVER).withColumn("__x", F.col("exchange_ts_ns") + window_ns)
+    before = Window.partitionBy("symbol", "__chunk").orderBy("__i").rowsBetween(Window.unboundedPreceding, -1)
+    records = t.select("symbol", "__chunk", "__i", "exchange_ts_ns", F.max("exchange_ts_ns").over(before).alias("m"))
+    records = records.where("m is null or exchange_ts_ns > m").select("symbol", F.col("__chunk").alias("c"), F.col("__i").alias("r"), F.col("exchange_ts_ns").alias("late"))
+    # nearly all are released by the next chunk; the others look through all later ones
+    after = F.col("c") == F.col("__chunk") + 1
+    near = held.join(records.withColumn("__chunk", F.col("c") - 1), ["symbol", "__chunk"]).where("late >= __x").groupBy("symbol", "__i").agg(F.min("r").alias("r"))
+    rest = held.join(near, ["symbol", "__i"], "left_anti").select("symbol", "__chunk", "__i", "__x")
+    far = rest.join(records, "symbol").where((F.col("c") > F.col("__chunk")) & ~after & (F.col("late") >= F.col("__x"))).groupBy("symbol", "__i").agg(F.min("r").alias("r"))
+    first = near.unionByName(far)
+    return done.join(first, ["symbol", "__i"], "left").select(*own, F.least("release_step", F.coalesce("r", F.lit(_NEVER))).alias("release_step"))
+
+
+def flushed(ticks: DataFrame, arrival: list[str], window_ns: int = DEFAULT_WINDOW_NS) -> DataFrame:
+    """What only the end lets out, of all symbols together, with ``n``, its place: by event time and arrival."""
+    left = reordered(ticks, arrival, window_ns).where(F.col("release_step") == _NEVER).drop("release_step")
+    return numbered(left, ["exchange_ts_ns", *arrival], HOUR)
+
+
+def event_order(ticks: DataFrame, activations: DataFrame) -> DataFrame:
+    """``symbol, exchange_ts_ns, sequence, rank, id, n``: ticks and order activations of a symbol in the order
+    of a replay's queue: by time, sequence, and rank, which is 0 for the book, 1 for activations and 2 for trades."""
+    rank = F.when(F.col("kind") == "book_delta", 0).otherwise(2)
+    columns = ["symbol", "exchange_ts_ns", "sequence", "rank", "id"]
+    both = ticks.withColumn("rank", rank).select(*columns).unionByName(activations.withColumn("rank", F.lit(1)).select(*columns))
+    return numbered(both, ["exchange_ts_ns", "sequence", "rank", "id"], HOUR, ["symbol"])
 
 
 def drop_oldest(ticks: DataFrame, arrival: list[str], room: int) -> DataFrame:

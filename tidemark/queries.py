@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import partial
 
@@ -15,9 +16,12 @@ from tidemark.operators import metrics as M
 from tidemark.operators import portfolio as P
 from tidemark.operators import sequencing as S
 from tidemark.operators.replay import BacktestConfig, RollingZScoreMeanReversion, replay
-from tidemark.plans import train
+from tidemark.plans import registry, train
+from tidemark.plans.config import FeatureConfig
+from tidemark.plans.dataset import DatasetSpec, fingerprint_of
 from tidemark.sources.events import TICKS_SQL, ticks
-from tidemark.sources.store import PointInTimeView, in_range, partition_stats
+from tidemark.sources.files import new_folder
+from tidemark.sources.store import PointInTimeView, TickStore, in_range, partition_stats
 
 DAY = K.DAY_NS
 #: 2024-01-05, 2024-01-20 and 2024-01-25, UTC.
@@ -401,20 +405,132 @@ def replay_order_all(spark, d):
     return ticks(spark, d).select("symbol", "event_id", "exchange_ts_ns", F.row_number().over(w).cast("long").alias("n"))
 
 
-@query("select event_id, ingest_ts_ns from ticks order by ingest_ts_ns desc, event_id desc limit 100")
-def top_runs(spark, d):
-    return ticks(spark, d).select("event_id", "ingest_ts_ns").orderBy(F.desc("ingest_ts_ns"), F.desc("event_id")).limit(100)
+_RUNS = f"""runs as (select symbol || '/' || {_DATE} as run_id, {_DATE} as created_at, symbol, count(*) filter (where kind = 'trade') as trades, count(*) filter (where kind = 'book_delta') as book, count(*) as n from ticks group by symbol, {_DATE})"""
 
 
-@query("""a as (select symbol, list_sort(list_distinct(list(price_ticks % 50) filter (where kind = 'trade'))) as x, list_sort(list_distinct(list(price_ticks % 50) filter (where kind = 'book_delta'))) as y from (select symbol, kind, price_ticks // 10000000 as price_ticks from ticks) group by symbol)
-select symbol, len(list_distinct(list_concat(x, y))) as n_union, len(list_intersect(x, y)) as n_both, len(x) - len(list_intersect(x, y)) as n_only from a""")
-def key_setops(spark, d):
-    v = F.floor(F.col("price_ticks") / 10_000_000) % 50
-    a = ticks(spark, d).groupBy("symbol").agg(F.collect_set(F.when(F.col("kind") == "trade", v)).alias("x"), F.collect_set(F.when(F.col("kind") == "book_delta", v)).alias("y"))
-    return a.select("symbol", F.size(F.array_union("x", "y")).cast("long").alias("n_union"), F.size(F.array_intersect("x", "y")).cast("long").alias("n_both"), F.size(F.array_except("x", "y")).cast("long").alias("n_only"))
+def _runs(t: DataFrame) -> DataFrame:
+    """A run for each symbol and day: parameters with its number of trades, and of book rows on even days."""
+    date = K.ns_to_date(F.col("exchange_ts_ns"))
+    g = t.groupBy("symbol", date.alias("created_at")).agg(F.count_if(F.col("kind") == "trade").alias("trades"), F.count_if(F.col("kind") == "book_delta").alias("book"), F.count("*").alias("n"))
+    even = F.day(F.to_date("created_at")) % 2 == 0
+    params = F.to_json(F.struct("symbol", "trades", F.when(even, F.col("book")).alias("book")))
+    return g.select(F.concat_ws("/", "symbol", "created_at").alias("run_id"), "created_at", params.alias("params"), F.to_json(F.struct("n")).alias("metrics"), F.lit("complete").alias("status"))
 
 
-@query()
+@query(f"{_RUNS} select run_id, created_at from runs order by created_at desc, run_id limit 100")
+def registry_newest(spark, d):
+    return registry.newest(_runs(ticks(spark, d)), 100, status="complete").select("run_id", "created_at")
+
+
+@query(f"""{_RUNS}, v as (select run_id, created_at, symbol, unnest([{{'kind': 'params', 'key': 'symbol', 'v': symbol}}, {{'kind': 'params', 'key': 'trades', 'v': cast(trades as varchar)}},
+  {{'kind': 'params', 'key': 'book', 'v': case when day(cast(created_at as date)) % 2 = 0 then cast(book as varchar) end}}, {{'kind': 'metrics', 'key': 'n', 'v': cast(n as varchar)}}]) as x from runs),
+k as (select run_id, x.kind as kind, x.key as key, x.v as v from v where x.v is not null),
+p as (select a.run_id as a, b.run_id as b from runs a join runs b on a.symbol = b.symbol and cast(b.created_at as date) = cast(a.created_at as date) + 1),
+l as (select a, b, kind, key, v from p join k on k.run_id = a), r as (select a, b, kind, key, v from p join k on k.run_id = b),
+f as (select coalesce(l.a, r.a) as a, coalesce(l.b, r.b) as b, coalesce(l.kind, r.kind) as kind, coalesce(l.key, r.key) as key, l.v as value_a, r.v as value_b from l full join r on l.a = r.a and l.b = r.b and l.kind = r.kind and l.key = r.key)
+select * from f where value_a is distinct from value_b and (kind = 'params' or (value_a is not null and value_b is not null))""")
+def registry_compare(spark, d):
+    """Every symbol's runs of two days in a row."""
+    runs = _runs(ticks(spark, d))
+    r = runs.select(F.col("run_id").alias("a"), F.split("run_id", "/")[0].alias("symbol"), F.date_add(F.to_date("created_at"), 1).cast("string").alias("next"))
+    pairs = r.select("a", F.concat_ws("/", "symbol", "next").alias("b")).join(runs.select(F.col("run_id").alias("b")), "b")
+    return registry.compared(runs, pairs.select("a", "b"))
+
+
+_HASHES = """h as (select symbol, {date} as date, sha256(string_agg(concat_ws('|', kind, symbol, exchange_ts_ns, sequence, price_ticks, size_ticks, coalesce(side, ''), coalesce(trade_id, '')), chr(10) order by arrival, event_id) || chr(10)) as content_sha256 from ticks {where} group by 1, 2)"""
+_SPEC = DatasetSpec("events", ("S0", "S1"), 3600 * K.SCALE, (FeatureConfig("trade_count"), FeatureConfig("mid_price", 120)), START, END)
+_HEAD, _TAIL = json.dumps(_SPEC.document(["@"]), sort_keys=True).split('"@"')
+
+
+@query(f"""{_HASHES.format(date=_DATE, where='')} select sha256('{_HEAD}' || string_agg('"' || content_sha256 || '"', ', ' order by content_sha256) || '{_TAIL}') as fingerprint from h""")
+def dataset_fingerprint(spark, d):
+    return fingerprint_of(partition_stats(ticks(spark, d), ARRIVAL), _SPEC)
+
+
+@query(f"""{_HASHES.format(date=_DATE, where='')}, {_HASHES.format(date=_DATE, where=f'where exchange_ts_ns <= {AS_OF}').replace('h as', 'k as', 1)}
+select symbol, date, content_sha256 from h where not exists (select 1 from k where k.symbol = h.symbol and k.date = h.date and k.content_sha256 = h.content_sha256)""")
+def changed_partitions(spark, d):
+    """Partitions that a store of what was known at ``AS_OF`` hasn't, or hasn't alike."""
+    t = ticks(spark, d)
+    known = partition_stats(PointInTimeView(t, AS_OF).scan(), ARRIVAL).select("symbol", "date", "content_sha256")
+    return partition_stats(t, ARRIVAL).select("symbol", "date", "content_sha256").join(known, ["symbol", "date", "content_sha256"], "left_anti")
+
+
+_STORES: dict[tuple[str, str], str] = {}
+
+
+def _store(spark, d) -> TickStore:
+    """The ticks in a store of the shared folder, written once for each session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORES:
+        _STORES[key] = new_folder(spark, "store")
+        TickStore(spark, _STORES[key], "events").write(ticks(spark, d), arrival=ARRIVAL)
+    return TickStore(spark, _STORES[key], "events")
+
+
+@query(f"select {COLS} from ticks where symbol in ('S1', 'S3') and exchange_ts_ns >= {START} and exchange_ts_ns < {END}")
+def store_scan(spark, d):
+    return _store(spark, d).scan(["S1", "S3"], START, END)
+
+
+@query(f"select {COLS} from ticks where exchange_ts_ns <= {AS_OF} and symbol = 'S2'")
+def store_pit(spark, d):
+    return PointInTimeView(_store(spark, d), AS_OF).scan(["S2"], end_ns=END)
+
+
+@query(f"select count(distinct (symbol, {_DATE})) as files from ticks where symbol = 'S1' and exchange_ts_ns >= {START} and exchange_ts_ns < {END}")
+def store_files(spark, d):
+    return spark.createDataFrame([(_store(spark, d).count_files_scanned(["S1"], START, END),)], "files long")
+
+
+@query(f"""{_HASHES.format(date=_DATE, where='')} select h.symbol, h.date, content_sha256, count(*) as row_count, min(exchange_ts_ns) as min_exchange_ts_ns, max(exchange_ts_ns) as max_exchange_ts_ns
+from h join ticks t on t.symbol = h.symbol and {_DATE.replace('exchange_ts_ns', 't.exchange_ts_ns')} = h.date group by 1, 2, 3""")
+def store_manifests(spark, d):
+    rows = [(m.symbol, m.date, m.content_sha256, m.row_count, m.min_exchange_ts_ns, m.max_exchange_ts_ns) for m in _store(spark, d).manifests()]
+    return spark.createDataFrame(rows, "symbol string, date string, content_sha256 string, row_count long, min_exchange_ts_ns long, max_exchange_ts_ns long")
+
+
+@query("select event_id, strftime(make_timestamp(exchange_ts_ns // 1000), '%Y-%m-%dT%H:%M:%SZ') as iso from ticks")
+def ns_to_iso(spark, d):
+    return ticks(spark, d).select("event_id", K.ns_to_iso(F.col("exchange_ts_ns")).alias("iso"))
+
+
+@query(f"""n as (select *, row_number() over (partition by symbol order by arrival, event_id) as i from ticks),
+m as (select *, max(exchange_ts_ns) over (partition by symbol order by i rows between current row and unbounded following) as top from n)
+select event_id, row_number() over (order by exchange_ts_ns, arrival, event_id) as n from m where top < exchange_ts_ns + {_W}""")
+def flush_order(spark, d):
+    return S.flushed(ticks(spark, d), ARRIVAL, _W).select("event_id", "n")
+
+
+_ACTIVATIONS = "act as (select symbol, exchange_ts_ns + 1000000 as exchange_ts_ns, 0 as sequence, 1 as rank, event_id as id from ticks where kind = 'trade')"
+
+
+@query(f"""{_ACTIVATIONS}, u as (select symbol, exchange_ts_ns, sequence, case kind when 'trade' then 2 else 0 end as rank, event_id as id from ticks union all select * from act)
+select symbol, exchange_ts_ns, sequence, rank, id, row_number() over (partition by symbol order by exchange_ts_ns, sequence, rank, id) as n from u""")
+def event_queue_order(spark, d):
+    """Each trade is taken as an order that becomes executable a millisecond later."""
+    t = ticks(spark, d).withColumn("id", F.col("event_id"))
+    orders = t.where("kind = 'trade'").withColumn("exchange_ts_ns", F.col("exchange_ts_ns") + 1_000_000).withColumn("sequence", F.lit(0).cast("long"))
+    return S.event_order(t, orders)
+
+
+@query(f"""{_RET}, s as (select symbol, bar_end_ns, r * sign(lag(r, 1, 0) over (partition by symbol order by bar_end_ns)) as pnl from q)
+select symbol, round(avg(pnl) / stddev_samp(pnl) * sqrt(count(*) / ((max(bar_end_ns) - min(bar_end_ns)) / {float(K.YEAR_NS)})), 6) as sharpe from s group by symbol having stddev_samp(pnl) > 0""")
+def bar_sharpe(spark, d, grid=fixed_grid):
+    w = Window.partitionBy("symbol").orderBy("bar_end_ns")
+    m = train.bar_backtest(_returns(spark, d, grid).withColumn("signal", F.lag("r", 1, 0.0).over(w)), ["symbol"], ["bar_end_ns"])
+    return m.where("std_pnl > 0").select("symbol", F.round("sharpe", 6).alias("sharpe"))
+
+
+_ORDERS = f"o as (select 'S' || i as symbol, case when i % 2 = 1 then 'buy' else 'sell' end as side, i + 1 as order_id, {START} + i * {DAY} + 1000000 as start from range(5) t(i))"
+
+
+@query(f"""{_ORDERS}, e as (select o.*, t.*, coalesce(sum(size_ticks) over (partition by t.symbol order by exchange_ts_ns, sequence, kind, arrival, event_id rows between unbounded preceding and 1 preceding), 0) as before
+  from ticks t join o on t.symbol = o.symbol where kind = 'trade' and exchange_ts_ns >= start),
+f as (select *, cast(least(size_ticks, {25 * K.SCALE} - before) as bigint) as n from e where before < {25 * K.SCALE} and size_ticks > 0),
+g as (select *, 10 + 2 * n // {K.SCALE} as slip from f)
+select row_number() over (partition by symbol order by exchange_ts_ns, sequence, arrival, event_id) - 1 as fill_no, order_id, symbol, o_side as side, n as size_ticks, price_ticks as tick_price_ticks,
+  price_ticks + case o_side when 'buy' then slip else -slip end as fill_price_ticks, slip as slippage_ticks, exchange_ts_ns as trade_ts_ns, trade_id from g""".replace("o.*, t.*", "o.order_id, o.side as o_side, t.*"))
 def replay_fills(spark, d):
     orders = [{"symbol": f"S{i}", "side": "buy" if i % 2 else "sell", "size_ticks": 25 * K.SCALE, "at_ns": START + i * DAY} for i in range(5)]
     return replay(ticks(spark, d), None, BacktestConfig(latency_ns=1_000_000, slippage_fixed_ticks=10, slippage_per_share_ticks=2), orders)
@@ -433,7 +549,7 @@ def ridge_walk_forward(spark, d):
 
 
 #: Queries over bars, which ``NAME_all`` runs over windows that cover the table.
-OVER_BARS = ["bar_grid", "range_join", "trade_count", "last_trade", "book_top", "mid_price", "spread_bps", "order_flow_imbalance", "realized_vol", "feature_matrix", "forward_target", "cum_equity", "drawdown", "bar_backtest"]
+OVER_BARS = ["bar_grid", "range_join", "trade_count", "last_trade", "book_top", "mid_price", "spread_bps", "order_flow_imbalance", "realized_vol", "feature_matrix", "forward_target", "cum_equity", "drawdown", "bar_backtest", "bar_sharpe"]
 for _name in OVER_BARS:
     QUERIES[f"{_name}_all"] = partial(QUERIES[_name], grid=whole_grid)
     ORACLE_SQL[f"{_name}_all"] = ORACLE_SQL[_name].replace(_BARS, _ALL_BARS)

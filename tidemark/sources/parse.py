@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions.ticks import RECORD_SCHEMA, TICK_SCHEMA, iso_to_ns, to_ticks, valid
 
@@ -51,14 +52,24 @@ def parse_messages(messages: DataFrame) -> DataFrame:
     return to_ticks(out)
 
 
-def trade_rows(rows: DataFrame, symbol: str, ingest_ts_ns: int) -> DataFrame:
-    """REST trades (``time, trade_id, price, size, side``), the first of each id, to ticks; the
-    sequence is the id."""
-    one = rows.dropDuplicates(["trade_id"])
+def trade_rows(rows: DataFrame, symbol: str, ingest_ts_ns: int, order: list[str] | None = None) -> DataFrame:
+    """REST trades (``time, trade_id, price, size``) to ticks; the sequence is the id. Of an id the first
+    row counts, by the last column of ``order`` within the others, which are kept; any row without one."""
+    if order:
+        first = Window.partitionBy(*order[:-1], "trade_id").orderBy(order[-1])
+        one = rows.withColumn("__n", F.row_number().over(first)).where("__n = 1")
+    else:
+        one = rows.dropDuplicates(["trade_id"])
     return to_ticks(one.select(
         F.lit("trade").alias("type"), F.lit(symbol).alias("symbol"), iso_to_ns(F.col("time")).alias("exchange_ts_ns"), F.lit(ingest_ts_ns).cast("long").alias("ingest_ts_ns"),
-        F.col("trade_id").cast("long").alias("sequence"), "price", "size", F.lit(None).cast("string").alias("side"), F.col("trade_id").cast("string").alias("trade_id"),
-    ))
+        F.col("trade_id").cast("long").alias("sequence"), "price", "size", F.lit(None).cast("string").alias("side"), F.col("trade_id").cast("string").alias("trade_id"), *(order or []),
+    ), order)
+
+
+def error_messages(messages: DataFrame) -> DataFrame:
+    """``ingest_ts_ns, message, reason`` of the exchange's messages of type ``error``, to be logged."""
+    m = messages.select("ingest_ts_ns", F.from_json("value", "type string, message string, reason string").alias("m"))
+    return m.where("m.type = 'error'").select("ingest_ts_ns", "m.message", "m.reason")
 
 
 def empty_ticks(spark: SparkSession) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import os
 from dataclasses import asdict, dataclass, field
-from pathlib import Path
 from urllib.parse import unquote
 
 import pandas as pd
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.ticks import DAY_NS, SCAN_COLUMNS, TICK_SCHEMA, ns_to_date, row_line
+from tidemark.sources.files import read_text, write_text
 
 MAX_TS = (1 << 63) - 1
 STORE_SCHEMA = T.StructType([*TICK_SCHEMA.fields, T.StructField("date", T.StringType())])
@@ -109,39 +109,40 @@ class TickStore:
         fs, p = self._fs()
         return sorted(unquote(s.getPath().getName()[7:]) for s in fs.listStatus(p) if s.getPath().getName().startswith("symbol="))
 
-    def write(self, ticks: DataFrame, *, max_rows_per_file: int = 500_000, mode: str = "append", arrival: list[str] | None = None) -> int:
-        """Write ticks by (symbol, date) and refresh the manifests of the partitions touched.
+    def write(self, ticks: DataFrame, *, max_rows_per_file: int = 500_000, row_group_bytes: int = 128 << 20, mode: str = "append", arrival: list[str] | None = None, dates: list[str] | None = None) -> int:
+        """Writes ticks by (symbol, date), in the order of ``arrival`` within a partition, and refreshes the
+        manifests of the partitions touched, whose number it gives.
 
-        ``mode="overwrite"`` replaces only the partitions that ``ticks`` has."""
+        ``mode="overwrite"`` replaces only the partitions that ``ticks`` has; ``dates`` leaves out others."""
         order = arrival or ["ingest_ts_ns", "sequence"]
         data = ticks.withColumn("date", ns_to_date(F.col("exchange_ts_ns")))
+        data = data if dates is None else data.where(F.col("date").isin(dates))
         (
             data.repartition("symbol", "date").sortWithinPartitions("symbol", "date", *order)
             .select(*SCAN_COLUMNS, "date").write.mode(mode).partitionBy("symbol", "date")
-            .option("maxRecordsPerFile", max_rows_per_file).option("compression", "zstd")
+            .option("maxRecordsPerFile", max_rows_per_file).option("compression", "zstd").option("parquet.block.size", row_group_bytes)
             .option("partitionOverwriteMode", "dynamic").parquet(self.path)
         )
-        touched = [tuple(r) for r in data.select("symbol", "date").distinct().collect()]
-        self.write_manifests(touched)
-        return len(touched)
-
-    def write_manifests(self, touched: list[tuple[str, str]] | None = None) -> None:
-        df = self.frame().select("*", F.col("_metadata.file_name").alias("f"))
+        return self.write_manifests(data.select("symbol", "date").distinct())
+
+    def write_manifests(self, touched: DataFrame | list[tuple[str, str]] | None = None) -> int:
+        """Manifests of the partitions ``touched`` (symbol, date), or of all. Counts, bounds and the hash are
+        of all rows that the partition has, in the order in which they were written: by file and row. A
+        manifest replaces the one before in a single step."""
+        place = [F.col(f"_metadata.{c}").alias(f"__{c}") for c in ("file_modification_time", "file_name", "row_index")]
+        df = self.frame().select("*", *place)
         if touched is not None:
-            keys = self.spark.createDataFrame(touched, "symbol string, date string")
-            df = df.join(F.broadcast(keys), ["symbol", "date"], "left_semi") if touched else df.limit(0)
-        files = df.groupBy("symbol", "date").agg(F.sort_array(F.collect_set("f")).alias("parts"))
-        stats = partition_stats(df, ["ingest_ts_ns", "sequence", "exchange_ts_ns", "trade_id"]).join(files, ["symbol", "date"])
-        fs, root = self._fs()
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        for r in stats.collect():
+            keys = touched if isinstance(touched, DataFrame) else self.spark.createDataFrame(touched, "symbol string, date string")
+            df = df.join(keys, ["symbol", "date"], "left_semi")
+        files = df.groupBy("symbol", "date").agg(F.sort_array(F.collect_set("__file_name")).alias("parts"))
+        stats = partition_stats(df, ["__file_modification_time", "__file_name", "__row_index"]).join(files, ["symbol", "date"])
+        escaped = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        n = 0
+        for r in stats.toLocalIterator():
             m = Manifest(self.dataset, r.symbol, r.date, r.row_count, r.min_exchange_ts_ns, r.max_exchange_ts_ns, r.content_sha256, list(r.parts))
-            folder = next(s.getPath() for s in fs.listStatus(root) if unquote(s.getPath().getName()) == f"symbol={r.symbol}").toString()
-            out = fs.create(path(f"{folder}/date={r.date}/.manifest.tmp"), True)
-            out.write(bytearray(json.dumps(asdict(m), sort_keys=True).encode()))
-            out.close()
-            fs.delete(path(f"{folder}/date={r.date}/_manifest.json"), False)
-            fs.rename(path(f"{folder}/date={r.date}/.manifest.tmp"), path(f"{folder}/date={r.date}/_manifest.json"))
+            write_text(self.spark, f"{self.path}/symbol={escaped(r.symbol)}/date={r.date}/_manifest.json", json.dumps(asdict(m), sort_keys=True))
+            n += 1
+        return n
 
     def manifests(self) -> list[Manifest]:
         fs, _ = self._fs()
@@ -167,9 +168,10 @@ def _date(ns: int) -> str:
     return str((pd.Timestamp(0) + pd.Timedelta(days=ns // DAY_NS)).date())
 
 
-def read_manifest(folder: str | os.PathLike) -> Manifest | None:
-    p = Path(folder) / "_manifest.json"
-    return Manifest(**json.loads(p.read_text())) if p.exists() else None
+def read_manifest(spark: SparkSession, folder: str | os.PathLike) -> Manifest | None:
+    """The manifest in a partition's folder, or None if it has none."""
+    raw = read_text(spark, f"{folder}/_manifest.json")
+    return None if raw is None else Manifest(**json.loads(raw))
 
 
 class PointInTimeView:
