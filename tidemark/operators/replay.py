@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.functions.ticks import SCALE
 from tidemark.sources.store import PointInTimeView
@@ -153,6 +154,10 @@ def replay(ticks: DataFrame, strategy: Strategy | None, config: BacktestConfig =
             yield pd.DataFrame(fills, columns=FILLS)
 
     needed = ticks.select(*dict.fromkeys(["symbol", *REPLAY_ORDER, "price_ticks", "size_ticks", "side", "trade_id", *tie]))
+    if strategy is None and config.speed <= 0:
+        # nobody looks at other ticks than those that an order may meet
+        start = min((o["at_ns"] for o in given), default=0) + config.latency_ns
+        needed = needed.where((F.col("kind") == "trade") & F.col("symbol").isin(sorted({o["symbol"] for o in given})) & (F.col("exchange_ts_ns") >= start))
     dealt = needed.repartition("symbol").sortWithinPartitions("symbol", *order) if alone else needed.repartition(1).sortWithinPartitions(*order)
     return dealt.mapInPandas(run, FILL_SCHEMA)
 
