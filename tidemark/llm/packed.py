@@ -48,7 +48,7 @@ def bucketed(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, bytes]]:
         yield int(b), pack(low[cuts[b] : cuts[b + 1]] & np.uint32((1 << (32 - bits)) - 1))
 
 
-def counted(docs: DataFrame, hashes: Callable[[Iterator], Iterator[np.ndarray]], least: int, room: int = 1 << 21, bits: int | None = None) -> DataFrame:
+def counted(docs: DataFrame, hashes: Callable[[Iterator], Iterator[np.ndarray]], least: int, room: int = 1 << 20, bits: int | None = None) -> DataFrame:
     """``bucket, hash32, n`` for each 32-bit hash that ``hashes`` gives at least ``least`` times over ``docs``
     (of one text column), and for each bucket a row of ``hash32`` -1 with ``n`` all values and
     ``squares`` the sum of the squares of their counts."""

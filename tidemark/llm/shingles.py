@@ -13,7 +13,7 @@ from functools import cache
 
 import numpy as np
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _M1, _M2, _M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 _R = np.uint64(0x5851F42D4C957F2D)
 _S33 = np.uint64(33)
