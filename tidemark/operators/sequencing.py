@@ -96,6 +96,23 @@ def event_order(ticks: DataFrame, activations: DataFrame) -> DataFrame:
     return numbered(both, ["exchange_ts_ns", "sequence", "rank", "id"], HOUR, ["symbol"])
 
 
+def dense_ids(rows: DataFrame, key: str, arrival: list[str], start: int = 0) -> DataFrame:
+    """``key`` and ``code``: numbers from ``start`` on by the first appearance; a null key has none."""
+    first = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*arrival)).alias("at"))
+    flat = first.select(key, *[F.col(f"at.{c}").alias(c) for c in arrival])
+    return numbered(flat, arrival, ARRIVALS, name="code").select(key, (F.col("code") - 1 + start).alias("code"))
+
+
+def coded(ticks: DataFrame, arrival: list[str]) -> DataFrame:
+    """Adds whole numbers in place of names: ``symbol_id`` from 0 and ``trade_no`` from 1 on by first
+    appearance (0: none), ``kind_code`` (1: trade) and ``side_code`` (1: bid, 2: ask, 0: none)."""
+    symbols = dense_ids(ticks, "symbol", arrival).withColumnRenamed("code", "symbol_id")
+    trades = dense_ids(ticks, "trade_id", arrival, 1).withColumnRenamed("code", "trade_no")
+    side = F.when(F.col("side") == "bid", 1).when(F.col("side") == "ask", 2).otherwise(0)
+    out = ticks.join(symbols, "symbol").join(trades, "trade_id", "left").fillna(0, ["trade_no"])
+    return out.withColumn("kind_code", (F.col("kind") == "trade").cast("int")).withColumn("side_code", side)
+
+
 def drop_oldest(ticks: DataFrame, arrival: list[str], room: int) -> DataFrame:
     """What a stalled queue of ``room`` rows keeps of a batch: the newest rows."""
     return ticks.orderBy(*[F.desc(c) for c in arrival]).limit(room)

@@ -365,6 +365,21 @@ def equity_marks_all(spark, d):
     return _marked(t, _trades_as_fills(t))
 
 
+@query(f"""{_ALL_FILLS}, c as (select symbol, trade_ts_ns as ts, case side when 'buy' then size_ticks else -size_ticks end as dq, case side when 'buy' then -1 else 1 end * (cast(size_ticks as hugeint) * fill_price_ticks // 1000000000) as dc from fills),
+u as (select symbol, ts, dq, dc, null as sequence, null as trade_id, null as price_ticks from c union all select symbol, exchange_ts_ns, 0, 0, sequence, trade_id, price_ticks from ticks where kind = 'trade'),
+r as (select *, sum(dq) over w as q, sum(dc) over w as c from u window w as (partition by symbol order by ts range between unbounded preceding and current row)),
+e as (select symbol, ts, row_number() over (partition by symbol order by ts, sequence, trade_id) as n, cast(1000000000000000 + c + case when q >= 0 then cast(q as hugeint) * price_ticks // 1000000000 else -((cast(-q as hugeint) * price_ticks + 999999999) // 1000000000) end as double) as e from r where price_ticks is not null),
+v as (select *, e / lag(e) over w - 1 as r, max(e) over (partition by symbol order by n rows unbounded preceding) as peak from e window w as (partition by symbol order by n)),
+m as (select symbol, arg_max(e, n) / arg_min(e, n) - 1 as total_return, avg(r) / stddev_samp(r) * sqrt(count(r) / ((max(ts) - min(ts)) / {float(K.YEAR_NS)})) as sharpe, max((peak - e) / peak) as max_drawdown from v group by symbol),
+f as (select symbol, sum(cast(size_ticks as hugeint) * fill_price_ticks // 1000000000) / 1e15 as turnover, avg(slippage_ticks / nullif(tick_price_ticks, 0)) * 1e4 as avg_slippage_bps, count(*) as fill_count from fills group by symbol)
+select symbol, round(total_return, 6) as total_return, round(sharpe, 4) as sharpe, round(max_drawdown, 6) as max_drawdown, round(turnover, 6) as turnover, round(avg_slippage_bps, 6) as avg_slippage_bps, fill_count from m join f using (symbol)""")
+def portfolio_metrics_all(spark, d):
+    """Each symbol's portfolio, every trade with a size being a fill."""
+    t = ticks(spark, d)
+    m = P.symbol_metrics(t, _trades_as_fills(t), 10**15)
+    return m.select("symbol", *[F.round(c, 4 if c == "sharpe" else 6).alias(c) for c in ("total_return", "sharpe", "max_drawdown", "turnover", "avg_slippage_bps")], "fill_count")
+
+
 @query("select event_id, cast(json_extract(props, '$.k') as bigint) as k from ticks")
 def json_props(spark, d):
     return ticks(spark, d).select("event_id", F.from_json("props", "k long").k.alias("k"))
@@ -490,6 +505,14 @@ def store_manifests(spark, d):
     return spark.createDataFrame(rows, "symbol string, date string, content_sha256 string, row_count long, min_exchange_ts_ns long, max_exchange_ts_ns long")
 
 
+@query("""s as (select symbol, row_number() over (order by min((arrival, event_id))) - 1 as symbol_id from ticks group by symbol),
+n as (select trade_id, row_number() over (order by min((arrival, event_id))) as trade_no from ticks where trade_id is not null group by trade_id)
+select event_id, symbol_id, coalesce(trade_no, 0) as trade_no, case kind when 'trade' then 1 else 0 end as kind_code, case side when 'bid' then 1 when 'ask' then 2 else 0 end as side_code
+from ticks t join s on t.symbol = s.symbol left join n on t.trade_id = n.trade_id""")
+def dense_codes(spark, d):
+    return S.coded(ticks(spark, d), ARRIVAL).select("event_id", "symbol_id", "trade_no", "kind_code", "side_code")
+
+
 @query("select event_id, strftime(make_timestamp(exchange_ts_ns // 1000), '%Y-%m-%dT%H:%M:%SZ') as iso from ticks")
 def ns_to_iso(spark, d):
     return ticks(spark, d).select("event_id", K.ns_to_iso(F.col("exchange_ts_ns")).alias("iso"))

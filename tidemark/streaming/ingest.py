@@ -15,6 +15,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
+from typing import Protocol
 from urllib.parse import unquote
 
 import numpy as np
@@ -55,6 +56,14 @@ class RunMetadata:
     latency_p99_ns: float | None = None
 
 
+class Sink(Protocol):
+    """What a stream's micro-batches go to: each with its number, again after a failure; then the end."""
+
+    def __call__(self, batch: DataFrame, number: int) -> None: ...
+
+    def close(self) -> None: ...
+
+
 class NullSink:
     """Counts the rows of micro-batches and keeps none."""
 
