@@ -23,7 +23,7 @@ def sql(text, d=D):
     return sorted((tuple(x[names.index(n)] for n in sorted(names)) for x in r.fetchall()), key=str)
 
 
-@pytest.mark.parametrize("name", ["turnover_all", "equity_marks_all", "replay_order_all", "mid_price_all", "feature_matrix_all"])
+@pytest.mark.parametrize("name", ["turnover", "equity_marks", "replay_order", "portfolio_metrics", "mid_price", "feature_matrix", "bar_sharpe", "walk_forward_folds", "seq_gaps", "flush_order", "event_queue_order", "dense_codes", "replay_fills", "dataset_fingerprint", "changed_partitions", "registry_newest", "registry_compare", "store_scan", "store_manifests"])
 def test_whole_queries_match_sql(spark, name):
     assert rows(Q.QUERIES[name](spark, D)) == sql(Q.ORACLE_SQL[name])
 
@@ -37,8 +37,8 @@ def test_every_trade_is_a_fill(spark):
         q = sum(b * n for _, _, n, _, b in mine)
         cash = sum(-b * (n * (p + 7 * b) // 10**9) for _, _, n, p, b in mine)
         want[t.event_id] = 10**15 + cash + q * t.price_ticks // 10**9
-    assert {r.event_id: r.equity for r in Q.QUERIES["equity_marks_all"](spark, D).collect()} == want
-    assert Q.QUERIES["turnover_all"](spark, D).first().fill_count == len(fills) == 531
+    assert {r.event_id: r.equity for r in Q.QUERIES["equity_marks"](spark, D).collect()} == want
+    assert Q.QUERIES["turnover"](spark, D).first().fill_count == len(fills) == 531
 
 
 def test_strategy_on_every_symbol(spark):
@@ -52,6 +52,5 @@ def test_strategy_on_every_symbol(spark):
 
 
 def test_every_tick_is_in_a_window(spark):
-    assert all(Q.ORACLE_SQL[f"{n}_all"] != Q.ORACLE_SQL[n] for n in Q.OVER_BARS)
-    assert {r.event_id for r in Q.QUERIES["range_join_all"](spark, D).collect()} == {r.event_id for r in ticks(spark, D).collect()}
+    assert {r.event_id for r in Q.QUERIES["range_join"](spark, D).collect()} == {r.event_id for r in ticks(spark, D).collect()}
     assert Q.whole_grid(ticks(spark, D).limit(0)) == (0, -1, Q.LOOKBACK)

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import ticks as K
+from tidemark.functions.prefix import HOUR, numbered
 from tidemark.operators import features as X
 from tidemark.operators import metrics as M
 from tidemark.operators import portfolio as P
@@ -88,7 +88,9 @@ def manifest_bounds(spark, d):
     return partition_stats(ticks(spark, d)).agg(F.min("min_exchange_ts_ns").alias("min_exchange_ts_ns"), F.max("max_exchange_ts_ns").alias("max_exchange_ts_ns"))
 
 
-_BARS = f"""bars as (select symbol, b as bar_end_ns from (select distinct symbol from ticks), unnest(range({START}, {END} + 1, {DAY})) as t(b)),
+#: Bars LOOKBACK apart, from the first at or after the table's first tick to the first at or after its last,
+#: so that every tick is in a window.
+_BARS = f"""bars as (select symbol, b as bar_end_ns from (select distinct symbol from ticks), unnest((select range((min(exchange_ts_ns) + {LOOKBACK - 1}) // {LOOKBACK} * {LOOKBACK}, (max(exchange_ts_ns) + {LOOKBACK - 1}) // {LOOKBACK} * {LOOKBACK} + 1, {LOOKBACK}) from ticks)) as t(b)),
 rows as (select bars.symbol, bar_end_ns, kind, side, exchange_ts_ns, sequence, price_ticks, size_ticks, trade_id, arrival, event_id
   from bars join ticks t on bars.symbol = t.symbol and exchange_ts_ns between bar_end_ns - {LOOKBACK} and bar_end_ns)"""
 _ORD = "exchange_ts_ns, sequence, kind, trade_id, arrival, event_id"
@@ -98,14 +100,6 @@ _BOOK = """levels as (select symbol, bar_end_ns, side, price_ticks, arg_max(size
 book as (select symbol, bar_end_ns, max(price_ticks) filter (where side = 'bid') as bid, min(price_ticks) filter (where side = 'ask') as ask from levels where size > 0 group by 1, 2)"""
 
 
-#: ``_BARS`` with a grid that covers the table: bars LOOKBACK apart, from the first at or after its first tick.
-_ALL_BARS = _BARS.replace(f"range({START}, {END} + 1, {DAY})", f"(select range((min(exchange_ts_ns) + {LOOKBACK - 1}) // {LOOKBACK} * {LOOKBACK}, (max(exchange_ts_ns) + {LOOKBACK - 1}) // {LOOKBACK} * {LOOKBACK} + 1, {LOOKBACK}) from ticks)")
-
-
-def fixed_grid(t: DataFrame) -> tuple[int, int, int]:
-    return START, END, DAY
-
-
 def whole_grid(t: DataFrame) -> tuple[int, int, int]:
     """First and last bar and step, so that every tick is in the window of a bar."""
     r = t.agg(F.min("exchange_ts_ns").alias("low"), F.max("exchange_ts_ns").alias("high")).first()
@@ -114,75 +108,75 @@ def whole_grid(t: DataFrame) -> tuple[int, int, int]:
     return -(-r.low // LOOKBACK) * LOOKBACK, -(-r.high // LOOKBACK) * LOOKBACK, LOOKBACK
 
 
-def _bars(spark, d, grid=fixed_grid):
+def _bars(spark, d):
     t = ticks(spark, d)
-    return X.bar_grid(spark, t, *grid(t)), t
+    return X.bar_grid(spark, t, *whole_grid(t)), t
 
 
-def _feature(spark, d, name, grid=fixed_grid):
+def _feature(spark, d, name):
     t = ticks(spark, d)
     spec = X.resolve_feature(name, {"window_s": LOOKBACK // K.SCALE})
-    return X.feature_matrix(t, t, [spec], *grid(t)).withColumnRenamed(spec.name, name)
+    return X.feature_matrix(t, t, [spec], *whole_grid(t)).withColumnRenamed(spec.name, name)
 
 
 @query(f"{_BARS} select symbol, bar_end_ns from bars")
-def bar_grid(spark, d, grid=fixed_grid):
-    return _bars(spark, d, grid)[0]
+def bar_grid(spark, d):
+    return _bars(spark, d)[0]
 
 
 @query(f"{_BARS} select symbol, bar_end_ns, event_id from rows")
-def range_join(spark, d, grid=fixed_grid):
-    b, t = _bars(spark, d, grid)
+def range_join(spark, d):
+    b, t = _bars(spark, d)
     return X.window_rows(b, t, LOOKBACK).select("symbol", "bar_end_ns", "event_id")
 
 
 @query(f"{_BARS} select bars.symbol, bars.bar_end_ns, cast(count(event_id) filter (where kind = 'trade') as double) as trade_count from bars left join rows using (symbol, bar_end_ns) group by 1, 2")
-def trade_count(spark, d, grid=fixed_grid):
-    return _feature(spark, d, "trade_count", grid)
+def trade_count(spark, d):
+    return _feature(spark, d, "trade_count")
 
 
 @query(f"{_BARS}, {_LAST} select * from last_trade")
-def last_trade(spark, d, grid=fixed_grid):
-    b, t = _bars(spark, d, grid)
+def last_trade(spark, d):
+    b, t = _bars(spark, d)
     return X.last_trade(X.window_rows(b, t, LOOKBACK))
 
 
 @query(f"{_BARS}, {_BOOK} select * from book")
-def book_top(spark, d, grid=fixed_grid):
-    b, t = _bars(spark, d, grid)
+def book_top(spark, d):
+    b, t = _bars(spark, d)
     return X.book_top(X.window_rows(b, t, LOOKBACK))
 
 
 @query(f"{_BARS}, {_BOOK}, {_LAST} select bars.symbol, bars.bar_end_ns, round(coalesce((bid + ask) / 2e9, last / 1e9), 6) as mid_price from bars left join book using (symbol, bar_end_ns) left join last_trade using (symbol, bar_end_ns)")
-def mid_price(spark, d, grid=fixed_grid):
-    return _feature(spark, d, "mid_price", grid).withColumn("mid_price", F.round("mid_price", 6))
+def mid_price(spark, d):
+    return _feature(spark, d, "mid_price").withColumn("mid_price", F.round("mid_price", 6))
 
 
 @query(f"{_BARS}, {_BOOK} select bars.symbol, bars.bar_end_ns, round((ask - bid) / ((bid + ask) / 2) * 1e4, 4) as spread_bps from bars left join book using (symbol, bar_end_ns)")
-def spread_bps(spark, d, grid=fixed_grid):
-    return _feature(spark, d, "spread_bps", grid).withColumn("spread_bps", F.round("spread_bps", 4))
+def spread_bps(spark, d):
+    return _feature(spark, d, "spread_bps").withColumn("spread_bps", F.round("spread_bps", 4))
 
 
 @query(f"""{_BARS}, {_TRADES}, f as (select symbol, bar_end_ns, cast(coalesce(sum(sign(price_ticks - before) * size_ticks), 0) as double) / nullif(cast(sum(size_ticks) as double), 0) as v from steps group by 1, 2)
 select bars.symbol, bars.bar_end_ns, round(v, 9) as order_flow_imbalance from bars left join f using (symbol, bar_end_ns)""")
-def order_flow_imbalance(spark, d, grid=fixed_grid):
-    return _feature(spark, d, "order_flow_imbalance", grid).withColumn("order_flow_imbalance", F.round("order_flow_imbalance", 9))
+def order_flow_imbalance(spark, d):
+    return _feature(spark, d, "order_flow_imbalance").withColumn("order_flow_imbalance", F.round("order_flow_imbalance", 9))
 
 
 @query(f"""{_BARS}, {_TRADES}, f as (select symbol, bar_end_ns, stddev_samp(ln(price_ticks / 1e9) - ln(before / 1e9)) * sqrt({float(K.YEAR_NS) / LOOKBACK}) as v from steps group by 1, 2)
 select bars.symbol, bars.bar_end_ns, round(v, 6) as realized_vol from bars left join f using (symbol, bar_end_ns)""")
-def realized_vol(spark, d, grid=fixed_grid):
-    return _feature(spark, d, "realized_vol", grid).withColumn("realized_vol", F.round("realized_vol", 6))
+def realized_vol(spark, d):
+    return _feature(spark, d, "realized_vol").withColumn("realized_vol", F.round("realized_vol", 6))
 
 
 @query(f"""{_BARS}, {_BOOK}, {_LAST}, {_TRADES}, f as (select symbol, bar_end_ns, cast(count(*) as double) as n, cast(coalesce(sum(sign(price_ticks - before) * size_ticks), 0) as double) / nullif(cast(sum(size_ticks) as double), 0) as v from steps group by 1, 2)
 select bars.symbol, bars.bar_end_ns, round(coalesce((bid + ask) / 2e9, last / 1e9), 6) as mid_price, coalesce(n, 0) as trade_count, round(v, 9) as order_flow_imbalance
 from bars left join book using (symbol, bar_end_ns) left join last_trade using (symbol, bar_end_ns) left join f using (symbol, bar_end_ns)""")
-def feature_matrix(spark, d, grid=fixed_grid):
+def feature_matrix(spark, d):
     t = ticks(spark, d)
     names = ["mid_price", "trade_count", "order_flow_imbalance"]
     specs = [X.resolve_feature(n, {"window_s": LOOKBACK // K.SCALE}) for n in names]
-    out = X.feature_matrix(t, t, specs, *grid(t))
+    out = X.feature_matrix(t, t, specs, *whole_grid(t))
     return out.select("symbol", "bar_end_ns", *[F.round(s.name, 6 if n == "mid_price" else 9).alias(n) for s, n in zip(specs, names, strict=True)])
 
 
@@ -246,13 +240,13 @@ def ingest_counters(spark, d):
 _MID = f"{_BARS}, {_BOOK}, {_LAST}, mids as (select bars.symbol, bars.bar_end_ns, coalesce((bid + ask) / 2e9, last / 1e9) as mid from bars left join book using (symbol, bar_end_ns) left join last_trade using (symbol, bar_end_ns))"
 
 
-def _mids(spark, d, grid=fixed_grid):
-    return _feature(spark, d, "mid_price", grid)
+def _mids(spark, d):
+    return _feature(spark, d, "mid_price")
 
 
 @query(f"{_MID} select symbol, bar_end_ns, round(lead(mid) over (partition by symbol order by bar_end_ns) / mid - 1, 9) as target from mids")
-def forward_target(spark, d, grid=fixed_grid):
-    return train.with_target(_mids(spark, d, grid), 1).select("symbol", "bar_end_ns", F.round("target", 9).alias("target"))
+def forward_target(spark, d):
+    return train.with_target(_mids(spark, d), 1).select("symbol", "bar_end_ns", F.round("target", 9).alias("target"))
 
 
 @query(f"""{_BARS}, n as (select symbol, bar_end_ns, row_number() over (order by bar_end_ns, symbol) - 1 as i, count(*) over () as n from bars)
@@ -273,22 +267,22 @@ def zscore(spark, d):
 _RET = f"{_MID}, r as (select symbol, bar_end_ns, mid / lag(mid) over (partition by symbol order by bar_end_ns) - 1 as r from mids), q as (select * from r where r is not null)"
 
 
-def _returns(spark, d, grid=fixed_grid):
+def _returns(spark, d):
     w = Window.partitionBy("symbol").orderBy("bar_end_ns")
-    return _mids(spark, d, grid).withColumn("r", F.col("mid_price") / F.lag("mid_price").over(w) - 1).where("r is not null")
+    return _mids(spark, d).withColumn("r", F.col("mid_price") / F.lag("mid_price").over(w) - 1).where("r is not null")
 
 
 @query(f"{_RET} select symbol, bar_end_ns, round(product(1 + r) over (partition by symbol order by bar_end_ns), 6) as equity from q")
-def cum_equity(spark, d, grid=fixed_grid):
+def cum_equity(spark, d):
     w = Window.partitionBy("symbol").orderBy("bar_end_ns").rowsBetween(Window.unboundedPreceding, 0)
-    return _returns(spark, d, grid).select("symbol", "bar_end_ns", F.round(F.product(1 + F.col("r")).over(w), 6).alias("equity"))
+    return _returns(spark, d).select("symbol", "bar_end_ns", F.round(F.product(1 + F.col("r")).over(w), 6).alias("equity"))
 
 
 @query(f"""{_RET}, e as (select symbol, bar_end_ns, product(1 + r) over (partition by symbol order by bar_end_ns) as e from q), p as (select *, max(e) over (partition by symbol order by bar_end_ns) as p from e)
 select symbol, round(max((p - e) / p), 6) as max_drawdown from p group by symbol""")
-def drawdown(spark, d, grid=fixed_grid):
+def drawdown(spark, d):
     w = Window.partitionBy("symbol").orderBy("bar_end_ns").rowsBetween(Window.unboundedPreceding, 0)
-    e = _returns(spark, d, grid).withColumn("e", F.product(1 + F.col("r")).over(w)).withColumn("p", F.max("e").over(w))
+    e = _returns(spark, d).withColumn("e", F.product(1 + F.col("r")).over(w)).withColumn("p", F.max("e").over(w))
     return e.groupBy("symbol").agg(F.round(F.max(P.drawdown(F.col("e"), F.col("p"))), 6).alias("max_drawdown"))
 
 
@@ -296,47 +290,19 @@ def drawdown(spark, d, grid=fixed_grid):
 t as (select *, pos - lag(pos, 1, pos) over (partition by symbol order by bar_end_ns) as dp, product(1 + pos * r) over (partition by symbol order by bar_end_ns) as e from s),
 p as (select *, greatest(1, max(e) over (partition by symbol order by bar_end_ns)) as p from t)
 select symbol, round(arg_max(e, bar_end_ns) - 1, 6) as total_return, round(max((p - e) / p), 6) as max_drawdown, round(sum(abs(dp)) / count(*), 6) as turnover, count(*) filter (where dp <> 0) as fill_count from p group by symbol""")
-def bar_backtest(spark, d, grid=fixed_grid):
+def bar_backtest(spark, d):
     w = Window.partitionBy("symbol").orderBy("bar_end_ns")
-    r = _returns(spark, d, grid).withColumn("signal", F.lag("r", 1, 0.0).over(w))
+    r = _returns(spark, d).withColumn("signal", F.lag("r", 1, 0.0).over(w))
     m = train.bar_backtest(r, ["symbol"], ["bar_end_ns"])
     return m.select("symbol", F.round("total_return", 6).alias("total_return"), F.round("max_drawdown", 6).alias("max_drawdown"), F.round("turnover", 6).alias("turnover"), "fill_count")
 
 
-def _orders_as_fills(t: DataFrame) -> DataFrame:
-    """Every 20th trade taken as a fill, alternately bought and sold."""
-    return t.where("kind = 'trade' and event_id % 20 = 0 and size_ticks > 0").select(
-        "symbol", F.when(F.col("event_id") % 40 == 0, "buy").otherwise("sell").alias("side"), "size_ticks", F.col("price_ticks").alias("tick_price_ticks"),
-        (F.col("price_ticks") + F.when(F.col("event_id") % 40 == 0, 7).otherwise(-7)).alias("fill_price_ticks"), F.lit(7).cast("long").alias("slippage_ticks"), F.col("exchange_ts_ns").alias("trade_ts_ns"), "event_id",
-    )
-
-
-_FILLS = """fills as (select symbol, case when event_id % 40 = 0 then 'buy' else 'sell' end as side, size_ticks, price_ticks as tick_price_ticks,
-price_ticks + case when event_id % 40 = 0 then 7 else -7 end as fill_price_ticks, 7 as slippage_ticks, exchange_ts_ns as trade_ts_ns, event_id from ticks where kind = 'trade' and event_id % 20 = 0 and size_ticks > 0)"""
-
-
 def _marked(t: DataFrame, fills: DataFrame) -> DataFrame:
     curve = P.equity_curve(t, fills, 10**15)
-    order = Window.partitionBy("symbol").orderBy("exchange_ts_ns", "sequence", "trade_id")
-    ids = t.where("kind = 'trade'").select("symbol", "event_id", F.row_number().over(order).alias("n"))
+    ids = numbered(t.where("kind = 'trade'"), ["exchange_ts_ns", "sequence", "trade_id"], HOUR, ["symbol"]).select("symbol", "event_id", "n")
     return curve.join(ids, ["symbol", "n"]).select("event_id", "equity")
 
 
-@query(f"""{_FILLS} select round(sum(cast(size_ticks as hugeint) * fill_price_ticks // 1000000000) / 1e15, 6) as turnover, round(avg(slippage_ticks / tick_price_ticks) * 1e4, 9) as avg_slippage_bps, count(*) as fill_count from fills""")
-def turnover(spark, d):
-    m = P.fill_metrics(_orders_as_fills(ticks(spark, d)), 10**15)
-    return m.select(F.round("turnover", 6).alias("turnover"), F.round("avg_slippage_bps", 9).alias("avg_slippage_bps"), "fill_count")
-
-
-@query(f"""{_FILLS}, c as (select symbol, trade_ts_ns as ts, case side when 'buy' then size_ticks else -size_ticks end as dq, case side when 'buy' then -1 else 1 end * (cast(size_ticks as hugeint) * fill_price_ticks // 1000000000) as dc from fills)
-select t.event_id, cast(1000000000000000 + coalesce(sum(dc), 0) + case when coalesce(sum(dq), 0) >= 0 then cast(coalesce(sum(dq), 0) as hugeint) * any_value(price_ticks) // 1000000000
- else -((cast(-sum(dq) as hugeint) * any_value(price_ticks) + 999999999) // 1000000000) end as bigint) as equity
-from ticks t left join c on c.symbol = t.symbol and c.ts <= t.exchange_ts_ns where t.kind = 'trade' group by t.event_id""")
-def equity_marks(spark, d):
-    t = ticks(spark, d)
-    return _marked(t, _orders_as_fills(t))
-
-
 def _trades_as_fills(t: DataFrame) -> DataFrame:
     """Every trade with a size taken as a fill, bought at even ids and sold at odd ones."""
     buy = F.col("event_id") % 2 == 0
@@ -346,26 +312,26 @@ def _trades_as_fills(t: DataFrame) -> DataFrame:
     )
 
 
-_ALL_FILLS = """fills as (select symbol, case when event_id % 2 = 0 then 'buy' else 'sell' end as side, size_ticks, price_ticks as tick_price_ticks,
+_FILLS = """fills as (select symbol, case when event_id % 2 = 0 then 'buy' else 'sell' end as side, size_ticks, price_ticks as tick_price_ticks,
 price_ticks + case when event_id % 2 = 0 then 7 else -7 end as fill_price_ticks, 7 as slippage_ticks, exchange_ts_ns as trade_ts_ns, event_id from ticks where kind = 'trade' and size_ticks > 0)"""
 
 
-@query(f"""{_ALL_FILLS} select round(sum(cast(size_ticks as hugeint) * fill_price_ticks // 1000000000) / 1e15, 6) as turnover, round(avg(slippage_ticks / nullif(tick_price_ticks, 0)) * 1e4, 9) as avg_slippage_bps, count(*) as fill_count from fills""")
-def turnover_all(spark, d):
+@query(f"""{_FILLS} select round(sum(cast(size_ticks as hugeint) * fill_price_ticks // 1000000000) / 1e15, 6) as turnover, round(avg(slippage_ticks / nullif(tick_price_ticks, 0)) * 1e4, 9) as avg_slippage_bps, count(*) as fill_count from fills""")
+def turnover(spark, d):
     m = P.fill_metrics(_trades_as_fills(ticks(spark, d)), 10**15)
     return m.select(F.round("turnover", 6).alias("turnover"), F.round("avg_slippage_bps", 9).alias("avg_slippage_bps"), "fill_count")
 
 
-@query(f"""{_ALL_FILLS}, c as (select symbol, trade_ts_ns as ts, case side when 'buy' then size_ticks else -size_ticks end as dq, case side when 'buy' then -1 else 1 end * (cast(size_ticks as hugeint) * fill_price_ticks // 1000000000) as dc from fills),
+@query(f"""{_FILLS}, c as (select symbol, trade_ts_ns as ts, case side when 'buy' then size_ticks else -size_ticks end as dq, case side when 'buy' then -1 else 1 end * (cast(size_ticks as hugeint) * fill_price_ticks // 1000000000) as dc from fills),
 u as (select symbol, ts, dq, dc, null as event_id, null as price_ticks from c union all select symbol, exchange_ts_ns, 0, 0, event_id, price_ticks from ticks where kind = 'trade'),
 r as (select event_id, price_ticks, sum(dq) over w as q, sum(dc) over w as c from u window w as (partition by symbol order by ts range between unbounded preceding and current row))
 select event_id, cast(1000000000000000 + c + case when q >= 0 then cast(q as hugeint) * price_ticks // 1000000000 else -((cast(-q as hugeint) * price_ticks + 999999999) // 1000000000) end as bigint) as equity from r where event_id is not null""")
-def equity_marks_all(spark, d):
+def equity_marks(spark, d):
     t = ticks(spark, d)
     return _marked(t, _trades_as_fills(t))
 
 
-@query(f"""{_ALL_FILLS}, c as (select symbol, trade_ts_ns as ts, case side when 'buy' then size_ticks else -size_ticks end as dq, case side when 'buy' then -1 else 1 end * (cast(size_ticks as hugeint) * fill_price_ticks // 1000000000) as dc from fills),
+@query(f"""{_FILLS}, c as (select symbol, trade_ts_ns as ts, case side when 'buy' then size_ticks else -size_ticks end as dq, case side when 'buy' then -1 else 1 end * (cast(size_ticks as hugeint) * fill_price_ticks // 1000000000) as dc from fills),
 u as (select symbol, ts, dq, dc, null as sequence, null as trade_id, null as price_ticks from c union all select symbol, exchange_ts_ns, 0, 0, sequence, trade_id, price_ticks from ticks where kind = 'trade'),
 r as (select *, sum(dq) over w as q, sum(dc) over w as c from u window w as (partition by symbol order by ts range between unbounded preceding and current row)),
 e as (select symbol, ts, row_number() over (partition by symbol order by ts, sequence, trade_id) as n, cast(1000000000000000 + c + case when q >= 0 then cast(q as hugeint) * price_ticks // 1000000000 else -((cast(-q as hugeint) * price_ticks + 999999999) // 1000000000) end as double) as e from r where price_ticks is not null),
@@ -373,7 +339,7 @@ v as (select *, e / lag(e) over w - 1 as r, max(e) over (partition by symbol ord
 m as (select symbol, arg_max(e, n) / arg_min(e, n) - 1 as total_return, avg(r) / stddev_samp(r) * sqrt(count(r) / ((max(ts) - min(ts)) / {float(K.YEAR_NS)})) as sharpe, max((peak - e) / peak) as max_drawdown from v group by symbol),
 f as (select symbol, sum(cast(size_ticks as hugeint) * fill_price_ticks // 1000000000) / 1e15 as turnover, avg(slippage_ticks / nullif(tick_price_ticks, 0)) * 1e4 as avg_slippage_bps, count(*) as fill_count from fills group by symbol)
 select symbol, round(total_return, 6) as total_return, round(sharpe, 4) as sharpe, round(max_drawdown, 6) as max_drawdown, round(turnover, 6) as turnover, round(avg_slippage_bps, 6) as avg_slippage_bps, fill_count from m join f using (symbol)""")
-def portfolio_metrics_all(spark, d):
+def portfolio_metrics(spark, d):
     """Each symbol's portfolio, every trade with a size being a fill."""
     t = ticks(spark, d)
     m = P.symbol_metrics(t, _trades_as_fills(t), 10**15)
@@ -408,16 +374,10 @@ def date_from_ns(spark, d):
     return ticks(spark, d).select("event_id", date.alias("date"), K.date_to_ns(date).alias("day_ns"))
 
 
-@query("select symbol, event_id, exchange_ts_ns, row_number() over (order by exchange_ts_ns, sequence, kind, event_id) as n from ticks where symbol = 'S2'")
-def replay_order(spark, d):
-    w = Window.orderBy("exchange_ts_ns", "sequence", "kind", "event_id")
-    return ticks(spark, d).where("symbol = 'S2'").select("symbol", "event_id", "exchange_ts_ns", F.row_number().over(w).cast("long").alias("n"))
-
-
 @query("select symbol, event_id, exchange_ts_ns, row_number() over (partition by symbol order by exchange_ts_ns, sequence, kind, event_id) as n from ticks")
-def replay_order_all(spark, d):
-    w = Window.partitionBy("symbol").orderBy("exchange_ts_ns", "sequence", "kind", "event_id")
-    return ticks(spark, d).select("symbol", "event_id", "exchange_ts_ns", F.row_number().over(w).cast("long").alias("n"))
+def replay_order(spark, d):
+    placed = numbered(ticks(spark, d), ["exchange_ts_ns", "sequence", "kind", "event_id"], HOUR, ["symbol"])
+    return placed.select("symbol", "event_id", "exchange_ts_ns", "n")
 
 
 _RUNS = f"""runs as (select symbol || '/' || {_DATE} as run_id, {_DATE} as created_at, symbol, count(*) filter (where kind = 'trade') as trades, count(*) filter (where kind = 'book_delta') as book, count(*) as n from ticks group by symbol, {_DATE})"""
@@ -539,9 +499,9 @@ def event_queue_order(spark, d):
 
 @query(f"""{_RET}, s as (select symbol, bar_end_ns, r * sign(lag(r, 1, 0) over (partition by symbol order by bar_end_ns)) as pnl from q)
 select symbol, round(avg(pnl) / stddev_samp(pnl) * sqrt(count(*) / ((max(bar_end_ns) - min(bar_end_ns)) / {float(K.YEAR_NS)})), 6) as sharpe from s group by symbol having stddev_samp(pnl) > 0""")
-def bar_sharpe(spark, d, grid=fixed_grid):
+def bar_sharpe(spark, d):
     w = Window.partitionBy("symbol").orderBy("bar_end_ns")
-    m = train.bar_backtest(_returns(spark, d, grid).withColumn("signal", F.lag("r", 1, 0.0).over(w)), ["symbol"], ["bar_end_ns"])
+    m = train.bar_backtest(_returns(spark, d).withColumn("signal", F.lag("r", 1, 0.0).over(w)), ["symbol"], ["bar_end_ns"])
     return m.where("std_pnl > 0").select("symbol", F.round("sharpe", 6).alias("sharpe"))
 
 
@@ -567,16 +527,9 @@ def strategy_metrics(spark, d):
 
 @query()
 def ridge_walk_forward(spark, d):
-    m = _mids(spark, d, whole_grid)
+    m = _mids(spark, d)
     return train.train_evaluate(m, train.TrainConfig(model="ridge", n_splits=3)).folds
 
 
-#: Queries over bars, which ``NAME_all`` runs over windows that cover the table.
-OVER_BARS = ["bar_grid", "range_join", "trade_count", "last_trade", "book_top", "mid_price", "spread_bps", "order_flow_imbalance", "realized_vol", "feature_matrix", "forward_target", "cum_equity", "drawdown", "bar_backtest", "bar_sharpe"]
-for _name in OVER_BARS:
-    QUERIES[f"{_name}_all"] = partial(QUERIES[_name], grid=whole_grid)
-    ORACLE_SQL[f"{_name}_all"] = ORACLE_SQL[_name].replace(_BARS, _ALL_BARS)
-
-
 def entry(spark: SparkSession) -> DataFrame:
     return feature_matrix(spark, "/root/testdata/sf0.001")
