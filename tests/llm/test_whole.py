@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard, quality
@@ -42,7 +43,9 @@ def test_co_training_sees_every_unlabelled_document(spark, monkeypatch):
     assert quality.fit(two, y) is not None
 
 
-def test_every_link_is_counted(spark):
+@pytest.mark.parametrize("block", [2, 512])
+def test_every_link_is_counted(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
     r = random.Random(7)
     base = [f"w{i}" for i in range(60)]
     rows = []
