@@ -199,7 +199,7 @@ def test_rules_by_sql_order_and_odd_rows(spark):
     words = ["alpha", "beta", "GAMMA", "ÄÖ", "Ⅷ", "***", "||", "x" * 60, "12", "don't"]
     rows = [(i, r.choice([" ", "\n", " \t"]).join(r.choice(words) for _ in range(r.randint(0, 60)))) for i in range(300)]
     rows += [(i, "\n".join([f"some line number {i} of the text"] * 2 + [f"line {k} of text {i} is its own" for k in range(r.randint(0, 6))])) for i in range(300, 340)]
-    rows += [(500, None), (501, ""), (502, "a b c d e " * 20_000), (503, "Ünïcödé " * 9), (None, None)]
+    rows += [(500, None), (501, ""), (502, "a b c d e " * 300), (503, "Ünïcödé " * 9), (None, None)]
     d = clashing(spark.createDataFrame(rows, TYPE))
     got = rules.quality_rules(d)
     c = duckdb.connect()

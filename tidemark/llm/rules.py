@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade: on a sample, each rule's cost and rejections are
 measured, and the rules then run in falling order of rejections per cost until one rejects.
 
-The sample is ``SAMPLE_ROWS`` rows in the order of a hash of their ids. A rule is timed alone, on the
+The sample is some ``SAMPLE_ROWS`` rows, chosen by a hash of id and text where they are. A rule is timed alone, on the
 texts that pass the base, which are those that the cascade sees; what all rules share is made before.
 It is timed where the rows are, and only sums go to the driver. The verdict is a conjunction, so the
 order changes the work and never the result.
@@ -156,7 +156,9 @@ def estimated_order(docs: DataFrame, rules: dict[str, Callable[[Text], bool]] =
                 sums[n] = (sums[n][0] + k, sums[n][1] + s)
         yield pa.RecordBatch.from_arrays([pa.array([*sums]), pa.array([k for k, _ in sums.values()], pa.int64()), pa.array([s for _, s in sums.values()], pa.float64())], names=["rule", "n", "s"])
 
-    sample = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS).select("text")
+    n = docs.count()
+    share = min(1.0, SAMPLE_ROWS / n) if n else 1.0
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < int(share * (1 << 40))).select("text")
     sums = {n: (0, 0.0) for n in rules}
     for r in sample.mapInArrow(run, "rule string, n long, s double").collect():
         sums[r.rule] = (sums[r.rule][0] + r.n, sums[r.rule][1] + r.s)
