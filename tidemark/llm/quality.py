@@ -39,6 +39,8 @@ SURE = 0.95
 _SOURCES, _LANGS, _WORDS = 64, 16, 256
 #: Ridge of the measures and of the hashed words.
 _RIDGE = (1.0, 30.0)
+#: Rows whose views are held at a time.
+ROWS = 500
 _META = ("lang", "source", "n_chars")
 #: Numbers that ``_views`` keeps of the text's measures and of the metadata.
 _MEASURES, _META_STORED = 11, 4
@@ -187,11 +189,18 @@ def co_train(x1: np.ndarray, x2: np.ndarray, y: np.ndarray, surest) -> Model:
     return Model(models[0], models[1], s1, s2, blend)
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of ``ROWS`` rows: a view of many columns is made of each at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
 def _views(rows: DataFrame) -> DataFrame:
     """``doc_id, y, f``: the text's measures, language, source, size and missing size, then its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             got = b.to_pylist()
             words = word_view([r["text"] for r in got])
             f = []
@@ -226,9 +235,7 @@ def _surest(pool: DataFrame, models: list[Logistic], used: set[int], most: int)
         yield from kept.to_batches()
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in sliced(batches):
             ids = b.column(0).to_numpy()
             f = b.column(1)
             free = ~np.isin(ids, gone)
@@ -270,12 +277,12 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     @F.pandas_udf("p_text double, p_meta double, score double, kept boolean")
     def score(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
-        if model is None or not len(text):
-            p = np.ones((len(text), 3))
-        else:
-            sizes = [None if pd.isna(x) else int(x) for x in n_chars]
-            texts = text_view(np.array([measures(t) for t in text]), word_view(text.tolist()))
-            p = model.scores(texts, np.array([meta_view(*x) for x in zip(lang, source, sizes, strict=True)]))
+        p = np.ones((len(text), 3))
+        for at in range(0, len(text) if model else 0, ROWS):
+            own = text[at : at + ROWS].tolist()
+            sizes = [None if pd.isna(x) else int(x) for x in n_chars[at : at + ROWS]]
+            metas = [meta_view(*x) for x in zip(lang[at : at + ROWS], source[at : at + ROWS], sizes, strict=True)]
+            p[at : at + ROWS] = model.scores(text_view(np.array([measures(t) for t in own]), word_view(own)), np.array(metas))
         return pd.DataFrame({"p_text": p[:, 0], "p_meta": p[:, 1], "score": p[:, 2], "kept": p[:, 2] >= 0.5})
 
     columns = [F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string") for c in ("text", "lang", "source")]
