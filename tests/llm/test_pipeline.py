@@ -131,3 +131,43 @@ def test_empty_tables_and_odd_rows(spark, tmp_path):
                 assert docs.columns == schema.replace(" long", "").replace(" string", "").replace(" int", "").split(", ")
         out = corpus_pipeline.STAGES[-1][1](spark, docs, at).collect()
         assert sorted((r.doc_id or 0) for r in out) == ([0, 1, 2, 3, 3] if own else [])
+
+
+def test_batches_between_jvm_and_workers_are_bounded_in_bytes(spark):
+    import pyarrow as pa
+
+    from tidemark.llm.common import BATCH_BYTES, ship
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    key, own = "spark.sql.execution.arrow.maxBytesPerBatch", spark.newSession()
+    rows = own.range(0, 6_000, 1, 1).selectExpr("repeat('x', 2000) as text")
+    ship(own)
+    got = [r.n for r in rows.mapInArrow(sizes, "n long").collect()]
+    assert len(got) > 1 and sum(got) >= 12_000_000 and max(got) <= 1.25 * BATCH_BYTES
+    own.conf.set(key, "4000000")  # a setting of the session's own stays
+    ship(own)
+    assert own.conf.get(key) == "4000000"
+
+
+def test_workers_give_memory_back():
+    import subprocess
+    import sys
+
+    code = """
+import numpy as np, re, sys
+from tidemark.llm.common import lean
+held = lambda: int(re.search(r'RssAnon:\\s+(\\d+)', open('/proc/self/status').read())[1])
+def run(batches):
+    parts = [np.ones(1 << 12) for _ in range(4_000)]
+    keep = np.ones(1 << 12)  # above them
+    del parts
+    yield held()
+    run.keep = keep
+big, = lean(run)(())
+print(big, held())
+"""
+    big, after = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert big - after > 100_000

@@ -29,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import ship
+from tidemark.llm.common import lean, release, ship
 
 #: The byte-level pre-tokenizer's pattern. A fixed value.
 _S = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -311,7 +311,9 @@ class Stream:
 
 @cache
 def transducer(path: str) -> Transducer:
-    return Transducer(path)
+    t = Transducer(path)
+    release()  # the parsed file
+    return t
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -339,7 +341,7 @@ def bpe_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
             columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), SCHEMA)
 
 
 def bpe_encode(docs: DataFrame, path: str | None = None, rows: int = 256, decoded: bool = False) -> DataFrame:
@@ -359,7 +361,7 @@ def bpe_encode(docs: DataFrame, path: str | None = None, rows: int = 256, decode
                 more = [pa.array([t.digest([x.tobytes()])[2] for x in ids], pa.string())] if decoded else []
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([len(x) for x in ids], pa.int64()), arrays, *more], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>" + ", decoded_sha256 string" * decoded)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_tokens long, ids array<int>" + ", decoded_sha256 string" * decoded)
 
 
 def bpe_decode(encoded: DataFrame, path: str | None = None) -> DataFrame:

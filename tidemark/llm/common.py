@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: While set, Spark drops a query's shuffle files as soon as the query has ended.
 _DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of an Arrow batch between the JVM and a Python worker, and its setting. Either side holds several copies
+#: of a batch. Results don't depend on it, and a longer text is a batch of its own.
+BATCH_BYTES = 2 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -70,7 +78,10 @@ def tidy(spark: SparkSession) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once for each context, so they need no installation."""
+    """Send this package to the executors once for each context, so they need no installation. A session
+    in which the size of Arrow batches isn't set gets ``BATCH_BYTES``."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_tidemark_shipped", False):
         return
@@ -85,6 +96,28 @@ def ship(spark: SparkSession) -> None:
     sc._tidemark_shipped = True
 
 
+@cache
+def _malloc_trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+
+
+def release() -> None:
+    """Give memory that this process holds and doesn't use back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := _malloc_trim():
+        trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, with a ``release`` at the end: later steps reuse the Python worker, or run beside it while it idles."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release()
+
+    return whole
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, looked_up, maybe_in, ship, stored, tidy
+from tidemark.llm.common import discard, lean, looked_up, maybe_in, ship, stored, tidy
 from tidemark.llm.components import components
 from tidemark.llm.packed import counted, repeated, seen
 from tidemark.llm.shingles import mix, texts_sets
@@ -136,7 +136,7 @@ def _sizes(docs: DataFrame, k: int) -> DataFrame:
             g = np.array([signature(s) for s in sets], np.int64).reshape(-1, WORDS)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, np.c_[keys, g].T.copy())], names=["doc_id", "n", "k1", "k2", *BITS])
 
-    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, " + ", ".join(f"{x} long" for x in BITS))
+    return docs.mapInArrow(lean(run), "doc_id long, n long, k1 long, k2 long, " + ", ".join(f"{x} long" for x in BITS))
 
 
 def _keys(s: np.ndarray, limit: Threshold, small: int, frequent) -> np.ndarray:
@@ -164,7 +164,7 @@ def _postings(docs: DataFrame, k: int, limit: Threshold, small: int, frequent) -
             keys = [_keys(s, limit, small, frequent) for s in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), _lists([x[seen(table.value, x)] for x in keys])], names=["doc", "n", "keys"])
 
-    return docs.mapInArrow(run, "doc long, n long, keys array<long>").where(F.size("keys") > 0)
+    return docs.mapInArrow(lean(run), "doc long, n long, keys array<long>").where(F.size("keys") > 0)
 
 
 def _sets(texts: DataFrame, k: int) -> DataFrame:
@@ -175,7 +175,7 @@ def _sets(texts: DataFrame, k: int) -> DataFrame:
             sets = [*texts_sets((x.as_py() for x in b.column(1)), k)]
             yield pa.RecordBatch.from_arrays([b.column(0), _lists(sets)], names=["doc", "s"])
 
-    return texts.mapInArrow(run, "doc long, s array<long>")
+    return texts.mapInArrow(lean(run), "doc long, s array<long>")
 
 
 def _full(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:

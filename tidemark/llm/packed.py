@@ -12,6 +12,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidemark.llm.common import lean
+
 #: Bounds of the bits that name a bucket, and bytes of input for each bucket. Results don't depend on them.
 LEAST_BITS, MOST_BITS, BUCKET_BYTES = 6, 16, 2 << 20
 #: Bits of a table of repeated hashes: 2**27 bits are 16 MB, whatever the corpus.
@@ -87,7 +89,7 @@ def counted(docs: DataFrame, hashes: Callable[[Iterator], Iterator[np.ndarray]],
         })
 
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // 4)
-    sent = docs.mapInArrow(send, "bucket int, data binary").repartition(tasks, "bucket")
+    sent = docs.mapInArrow(lean(send), "bucket int, data binary").repartition(tasks, "bucket")
     return sent.groupBy("bucket").applyInPandas(count, "bucket int, hash32 long, n long, squares double")
 
 

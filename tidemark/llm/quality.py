@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, ship, stored
+from tidemark.llm.common import discard, lean, release, ship, stored
 from tidemark.llm.rules import Text
 from tidemark.llm.shingles import texts_words
 
@@ -210,7 +210,7 @@ def _views(rows: DataFrame) -> DataFrame:
                 f.append(np.array(numbers, "<f8").tobytes() + w.tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(f, pa.binary())], names=["doc_id", "y", "f"])
 
-    return rows.mapInArrow(run, "doc_id long, y int, f binary")
+    return rows.mapInArrow(lean(run), "doc_id long, y int, f binary")
 
 
 _BEST = "view int, label int, sure double, doc_id long, f binary"
@@ -246,7 +246,7 @@ def _surest(pool: DataFrame, models: list[Logistic], used: set[int], most: int)
                     n = len(at)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, v, np.int32)), pa.array(np.full(n, label, np.int32)), pa.array(sure[at]), pa.array(ids[at]), f.take(pa.array(at))], schema=schema)
 
-    some = pool.select("doc_id", "f").mapInArrow(lambda batches: narrowed(found(batches)), _BEST)
+    some = pool.select("doc_id", "f").mapInArrow(lean(lambda batches: narrowed(found(batches))), _BEST)
     few = some.repartition(max(1, math.isqrt(pool.rdd.getNumPartitions()))).mapInArrow(narrowed, _BEST)
     out: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
     for r in _first(few.toArrow().cast(schema), most).to_pylist():
@@ -283,6 +283,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
             sizes = [None if pd.isna(x) else int(x) for x in n_chars[at : at + ROWS]]
             metas = [meta_view(*x) for x in zip(lang[at : at + ROWS], source[at : at + ROWS], sizes, strict=True)]
             p[at : at + ROWS] = model.scores(text_view(np.array([measures(t) for t in own]), word_view(own)), np.array(metas))
+        release()
         return pd.DataFrame({"p_text": p[:, 0], "p_meta": p[:, 1], "score": p[:, 2], "kept": p[:, 2] >= 0.5})
 
     columns = [F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string") for c in ("text", "lang", "source")]
